@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q03_simhash"]
+MODULES = ["q03_simhash", "q06_idstore", "q10_packing"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
