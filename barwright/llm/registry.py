@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q03_simhash", "q06_idstore", "q07_quality", "q10_packing"]
+MODULES = ["q02_secrets", "q03_simhash", "q06_idstore", "q07_quality", "q10_packing"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
