@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q02_secrets", "q03_simhash", "q04_mixing", "q06_idstore", "q07_quality", "q10_packing"]
+MODULES = ["q01_warc", "q02_secrets", "q03_simhash", "q04_mixing", "q06_idstore", "q07_quality", "q10_packing"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
