@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ["q01_warc", "q02_secrets", "q03_simhash", "q04_mixing", "q06_idstore", "q07_quality", "q10_packing"]
+MODULES = [
+    "q01_warc", "q02_secrets", "q03_simhash", "q04_mixing", "q05_urllists", "q06_idstore", "q07_quality", "q08_langid", "q09_ann", "q10_packing",
+]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
