@@ -145,7 +145,8 @@ def assess(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
 def keep_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that neither the base rule nor a certified cutoff rejects, columns as they were."""
     rows = measure(docs, column(docs, "text"), column(docs, "lang"))
-    good = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "stratum", *COUNTS)
-    good = materialise(good.join(good_documents(labels), F.col("doc_id") == F.col("labelled"), "left_semi"), "labelled")
+    # Written before the join with the labels: Spark would push a semi join below the measures and shuffle the texts.
+    measured = materialise(rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "stratum", *COUNTS), "measures")
+    good = measured.join(good_documents(labels), F.col("doc_id") == F.col("labelled"), "left_semi")
     kept = judge(rows, cutoffs(good, risk, delta)).where("kept")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
