@@ -99,7 +99,7 @@ def qa_exclusions(spark, sf_dir):
     return audited(spark, sf_dir).select("symbol", F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("symbols"))
 
 
-@query(f"WITH {BARS}, a AS (SELECT year(ts) AS y, symbol, volume, trades, high, low FROM bars) SELECT symbol, y AS year, count(*) AS bars, count(*) FILTER (trades = 1) AS single_trade, count(*) FILTER (high = low) AS one_price, sum(volume) AS volume, round(avg(trades), 6) AS mean_trades FROM a GROUP BY ALL")
+@query(f"WITH {BARS}, a AS (SELECT year(ts)::INT AS y, symbol, volume, trades, high, low FROM bars) SELECT symbol, y AS year, count(*) AS bars, count(*) FILTER (trades = 1) AS single_trade, count(*) FILTER (high = low) AS one_price, sum(volume) AS volume, round(avg(trades), 6) AS mean_trades FROM a GROUP BY ALL")
 def qa_symbol_year(spark, sf_dir):
     b = bars(spark, sf_dir).withColumn("year", F.year("ts"))
     return b.groupBy("symbol", "year").agg(F.count("*").alias("bars"), F.count_if(F.col("trades") == 1).alias("single_trade"), F.count_if(F.col("high") == F.col("low")).alias("one_price"), F.sum("volume").alias("volume"), r6(F.avg("trades")).alias("mean_trades"))
@@ -279,7 +279,7 @@ def features_latest(spark, sf_dir):
     return last.select("symbol", "r.ts", r6("r.close").alias("close"), "r.volume")
 
 
-@query(f"WITH {BARS} SELECT CASE WHEN close < 500 THEN 'low' WHEN close < 1500 THEN 'mid' ELSE 'high' END AS bucket, year(ts) AS year, count(*) AS n, round(avg(high / nullif(low, 0) - 1), 6) AS mean_range FROM bars GROUP BY GROUPING SETS ((bucket, year), (bucket), (year), ())")
+@query(f"WITH {BARS} SELECT CASE WHEN close < 500 THEN 'low' WHEN close < 1500 THEN 'mid' ELSE 'high' END AS bucket, year(ts)::INT AS year, count(*) AS n, round(avg(high / nullif(low, 0) - 1), 6) AS mean_range FROM bars GROUP BY GROUPING SETS ((bucket, year), (bucket), (year), ())")
 def grouping_report(spark, sf_dir):
     b = bars(spark, sf_dir).select(F.when(F.col("close") < 500, "low").when(F.col("close") < 1500, "mid").otherwise("high").alias("bucket"), F.year("ts").alias("year"), (F.try_divide("high", "low") - 1).alias("rng"))
     b.createOrReplaceTempView("grouping_report_rows")

@@ -11,7 +11,7 @@ from .registry import query
 
 S = "PARTITION BY symbol ORDER BY ts"
 #: A signal and its outcome: the day's range is wide, the close after five bars; strata by symbol class.
-SIG = f"""{BARS}, y AS (SELECT symbol, ts, year(ts) AS yr, high > low * 1.05 AS sig, trades, volume, lead(close, 5) OVER ({S}) / nullif(close, 0) - 1 AS out FROM bars), e AS (SELECT *, out > 0.1 AS hit FROM y WHERE out IS NOT NULL)"""
+SIG = f"""{BARS}, y AS (SELECT symbol, ts, year(ts)::INT AS yr, high > low * 1.05 AS sig, trades, volume, lead(close, 5) OVER ({S}) / nullif(close, 0) - 1 AS out FROM bars), e AS (SELECT *, out > 0.1 AS hit FROM y WHERE out IS NOT NULL)"""
 
 
 def evaluated(spark, sf_dir) -> DataFrame:
