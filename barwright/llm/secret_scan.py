@@ -111,15 +111,16 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", sample: int = SAMP
     run together in twos and threes by ``_``, ``-`` or nothing, are ordinary identifiers."""
     spark = docs.sparkSession
     text = F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
-    # A bounded sample of whole documents with ordinary words, and of those with findings.
-    order = F.xxhash64(text)
-    some = docs.select(text.alias("t"), order.alias("o")).orderBy("o").limit(sample // 20)
+    # Words of the whole documents with the smallest hashes, a bounded number of different texts: only the hashes are
+    # ranked, so no task gathers texts.
+    hashes = docs.select(F.xxhash64(text).alias("o")).distinct().orderBy("o").limit(max(1, sample // 20))
+    last = hashes.agg(F.max("o")).first()[0]
+    some = docs.select(text.alias("t"), F.xxhash64(text).alias("o")).where(F.col("o") <= F.lit(last)).dropDuplicates(["o"])
     words = F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}"), F.lit(0))
     joined = F.expr("transform(sequence(1, greatest(size(w) - 2, 1)), i -> concat_ws(CASE i % 3 WHEN 0 THEN '_' WHEN 1 THEN '-' ELSE '' END, w[i - 1], w[i], CASE WHEN i % 2 = 0 THEN w[i + 1] END))")
     plain = some.select(words.alias("w")).where("size(w) > 1").select(F.explode(joined).alias("value"))
     pattern = KINDS["assign"][0]
-    hits = docs.select(text.alias("t"), order.alias("o")).where(F.col("t").rlike(pattern)).orderBy("o").limit(sample)
-    found = hits.select(F.explode(F.regexp_extract_all("t", F.lit(pattern), F.lit(2))).alias("value")).where("length(value) >= 16")
+    found = docs.select(F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(2))).alias("value")).where("length(value) >= 16")
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     drawn = spark.range(sample).select(F.substring(F.base64(digest), 1, 40).alias("value"))
     drawn = drawn.withColumn("value", F.when(F.xxhash64("value") % 2 == 0, F.regexp_replace("value", "[+/=]", "")).otherwise(F.col("value")))
