@@ -124,6 +124,20 @@ class Model:
 
     def __init__(self, path: str, languages: list[str], table: np.ndarray):
         self.path, self.languages, self.table = path, languages, table
+        self.known: dict[str, int] = {}
+        self.scores = np.zeros((1024, len(languages)))
+
+    def rows(self, texts: list[list[str]]) -> None:
+        """Score the words of ``texts`` that are not known yet; a worker's later tasks find them."""
+        new = list(set().union(*texts).difference(self.known))
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {}, list(set().union(*texts))
+        n = len(self.known)
+        while n + len(new) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        if new:
+            self.scores[n : n + len(new)] = word_scores(new, pieces(self.path), self.table)
+            self.known.update(zip(new, range(n, n + len(new))))
 
 
 def train(examples: DataFrame, path: str, docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> Model:
@@ -191,27 +205,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        vocabulary = pieces(m.path)
-        known: dict[str, int] = {}
-        scores = np.zeros((1024, len(m.languages)))
         for batch in batches:
             names, sure = [], []
             for at in range(0, batch.num_rows, 512):
                 texts = [words_of(t) if m.languages else [] for t in batch.column(1).slice(at, 512).to_pylist()]
-                new = list(set().union(*texts).difference(known))
-                if len(known) + len(new) > REMEMBERED:
-                    known, new = {}, list(set().union(*texts))
-                while len(known) + len(new) > len(scores):
-                    scores = np.concatenate([scores, np.zeros_like(scores)])
-                if new:
-                    scores[len(known) : len(known) + len(new)] = word_scores(new, vocabulary, m.table)
-                    known.update(zip(new, range(len(known), len(known) + len(new))))
+                m.rows(texts)
                 for w in texts:
                     if not w:
                         names.append(UNDECIDED)
                         sure.append(0.0)
                         continue
-                    total = scores[np.fromiter(map(known.__getitem__, w), np.int64, len(w))].sum(axis=0)
+                    total = m.scores[np.fromiter(map(m.known.__getitem__, w), np.int64, len(w))].sum(axis=0)
                     best = int(total.argmax())
                     names.append(m.languages[best])
                     sure.append(1 / math.fsum(np.exp(total - total[best]).tolist()))
