@@ -135,13 +135,14 @@ def neighbours(
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()["v"]
-    points = np.array(drawn.tolist(), np.float64)
+    drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    points, names = np.array(drawn["v"].tolist(), np.float64), drawn["vec_id"].to_numpy()
     dims = points.shape[1]
     depth = max(0, min(int(np.ceil(np.log2(max(1, n / leaf)))), int(np.log2(max(1, len(points) / 4)))))
     fitted = Forest(points, trees, depth)
     visits = visits_needed(fitted, points, k, recall)
     forest = spark.sparkContext.broadcast(fitted)  # at most sample / 4 nodes a tree
+    sampled = spark.sparkContext.broadcast((names, points))  # at most ``sample`` vectors
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,19 +150,24 @@ def neighbours(
             at = forest.value.leaves(x)
             for t in range(len(at)):
                 keys = pa.array(t * 2**depth + at[t])
-                yield pa.RecordBatch.from_arrays([keys, batch.column(0), batch.column(1)], ["leaf", "id", "v"])
+                yield pa.RecordBatch.from_arrays([keys, batch.column(0), batch.column(1), pa.array(np.zeros(len(x)))], ["leaf", "id", "v", "bound"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                found = [forest.value.search(q, visits) for q in _matrix(part.column(1), dims)]
+                asked_by, q = part.column(0).to_numpy(), _matrix(part.column(1), dims)
+                found = [forest.value.search(x, visits) for x in q]
+                # The k-th nearest in the sample is at least as far as the k-th nearest of all: nothing beyond it matters.
+                d = distances(q, sampled.value[1])
+                d[asked_by[:, None] == sampled.value[0][None, :]] = np.inf
+                bound = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(q), np.inf)
                 owner = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 keys = pa.array([t * 2**depth + leaf_ for f in found for t, leaf_ in f], pa.int64())
-                yield pa.RecordBatch.from_arrays([keys, part.column(0).take(owner), part.column(1).take(owner)], ["leaf", "id", "v"])
+                yield pa.RecordBatch.from_arrays([keys, part.column(0).take(owner), part.column(1).take(owner), pa.array(bound).take(owner)], ["leaf", "id", "v", "bound"])
 
-    placed = base.mapInArrow(place, "leaf long, id long, v array<double>")
-    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(ask, "leaf long, id long, v array<double>")
+    placed = base.mapInArrow(place, "leaf long, id long, v array<double>, bound double")
+    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(ask, "leaf long, id long, v array<double>, bound double")
     large = materialise(placed.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "large-leaves")
     if not large.isEmpty():
         placed = placed.join(large, "leaf", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1)))).drop("blocks")
@@ -169,11 +175,11 @@ def neighbours(
     else:
         placed, asked = placed.withColumn("part", F.lit(0)), asked.withColumn("part", F.lit(0))
     key = (F.col("leaf") * F.lit(1 << 20) + F.col("part")).alias("key")
-    both = asked.select(key, F.lit(0).alias("side"), "id", "v").unionByName(placed.select(key, F.lit(1).alias("side"), "id", "v"))
+    both = asked.select(key, F.lit(0).alias("side"), "id", "v", "bound").unionByName(placed.select(key, F.lit(1).alias("side"), "id", "v", "bound"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches_by_run(batches, "key"):
-            keys, side, ids = (table.column(c).to_numpy() for c in ("key", "side", "id"))
+            keys, side, ids, bound = (table.column(c).to_numpy() for c in ("key", "side", "id", "bound"))
             x = _matrix(table.column("v"), dims)
             bounds = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             out: list[tuple] = []
@@ -188,7 +194,7 @@ def neighbours(
                     d[ids[lo:hi, None] == own[None, :]] = np.inf
                     for i, row in enumerate(d):
                         best = np.lexsort((own, row))[:k]
-                        best = best[np.isfinite(row[best])]
+                        best = best[np.isfinite(row[best]) & (row[best] <= bound[lo + i])]
                         out.append((np.full(len(best), ids[lo + i]), own[best], row[best]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], ["query_id", "vec_id", "score"])
