@@ -142,7 +142,7 @@ def neighbours(
     fitted = Forest(points, trees, depth)
     visits = visits_needed(fitted, points, k, recall)
     forest = spark.sparkContext.broadcast(fitted)  # at most sample / 4 nodes a tree
-    sampled = spark.sparkContext.broadcast((names, points))  # at most ``sample`` vectors
+    sampled = spark.sparkContext.broadcast((names, points, fitted.leaves(points)))  # at most ``sample`` vectors
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,10 +158,15 @@ def neighbours(
                 part = batch.slice(at, 64)
                 asked_by, q = part.column(0).to_numpy(), _matrix(part.column(1), dims)
                 found = [forest.value.search(x, visits) for x in q]
-                # The k-th nearest in the sample is at least as far as the k-th nearest of all: nothing beyond it matters.
-                d = distances(q, sampled.value[1])
-                d[asked_by[:, None] == sampled.value[0][None, :]] = np.inf
-                bound = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(q), np.inf)
+                # Sampled rows in the visited leaves are found there again: nothing beyond the k-th of them matters.
+                bound = np.full(len(q), np.inf)
+                own, points_, at_leaf = sampled.value
+                for i, visited in enumerate(found):
+                    open_ = np.zeros((len(at_leaf), 2**depth), bool)
+                    open_[tuple(zip(*visited))] = True
+                    near = open_[np.arange(len(at_leaf))[:, None], at_leaf].any(axis=0) & (own != asked_by[i])
+                    if near.sum() >= k:
+                        bound[i] = np.partition(distances(q[i : i + 1], points_[near])[0], k - 1)[k - 1]
                 owner = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 keys = pa.array([t * 2**depth + leaf_ for f in found for t, leaf_ in f], pa.int64())
                 yield pa.RecordBatch.from_arrays([keys, part.column(0).take(owner), part.column(1).take(owner), pa.array(bound).take(owner)], ["leaf", "id", "v", "bound"])
