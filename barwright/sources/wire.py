@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 SOH = "\x01"
 #: A frame's payload: event id, symbol, quantity, price; big-endian.
-FRAME = struct.Struct(">qqid")
+FRAME = ">qqid"
 FRAME_SCHEMA = "stream long, position int, event_id long, symbol long, k int, value double, rest long"
 
 
@@ -37,9 +37,9 @@ def read_frames(streams: DataFrame) -> DataFrame:
                 raw, at, n = body.as_py() or b"", 0, 0
                 while at + 2 <= len(raw):
                     size = int.from_bytes(raw[at : at + 2], "big")
-                    if at + 2 + size > len(raw) or size != FRAME.size:
+                    if at + 2 + size > len(raw) or size != struct.calcsize(FRAME):
                         break
-                    event, symbol, k, value = FRAME.unpack_from(raw, at + 2)
+                    event, symbol, k, value = struct.unpack_from(FRAME, raw, at + 2)
                     rows.append((name, n, event, symbol, k, value, None))
                     at, n = at + 2 + size, n + 1
                 if at < len(raw):
@@ -57,8 +57,8 @@ def write_frames(rows: DataFrame, stream: str, order: str) -> DataFrame:
     def run(key, table):
         table = table.sort_by(order)
         cols = [table.column(c).to_pylist() for c in ("event_id", "symbol", "k", "value")]
-        head = FRAME.size.to_bytes(2, "big")
-        body = b"".join(head + FRAME.pack(*r) for r in zip(*cols))
+        head = struct.calcsize(FRAME).to_bytes(2, "big")
+        body = b"".join(head + struct.pack(FRAME, *r) for r in zip(*cols))
         return pa.table({"stream": pa.array([key[0].as_py()], pa.int64()), "body": pa.array([body], pa.binary())})
 
     return rows.groupBy(stream, "day").applyInArrow(run, "stream long, body binary")
