@@ -27,3 +27,15 @@ def stream_symbol_state(spark, sf_dir):
     rows = flow.run_once(flow.latest_states(flow.read_tape(spark, sf_dir)), shared(spark), "update")
     last = rows.groupBy("user_id").agg(F.max_by(F.struct("n", "total", "peak"), "batch").alias("r"))
     return last.select("user_id", "r.n", F.round("r.total", 4).alias("total"), "r.peak")
+
+
+@query("SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS hour FROM events")
+def stream_first_receipts(spark, sf_dir):
+    rows = flow.run_once(flow.first_receipts(flow.read_tape(spark, sf_dir)), shared(spark), "append")
+    return rows.select("user_id", "event_type", F.col("hour").cast("timestamp_ntz").alias("hour"))
+
+
+@query("SELECT a.event_id AS observation, b.event_id AS settlement, b.value FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 DAY WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
+def stream_settlements(spark, sf_dir):
+    rows = flow.run_once(flow.settled(flow.read_tape(spark, sf_dir)), shared(spark), "append")
+    return rows.select("observation", "settlement", "value")

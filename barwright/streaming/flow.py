@@ -49,3 +49,18 @@ def run_once(stream: DataFrame, folder: str, mode: str) -> DataFrame:
     q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{name}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.option("recursiveFileLookup", "true").parquet(f"{name}/rows")
+
+
+def first_receipts(events: DataFrame, late: str = "2 days") -> DataFrame:
+    """First event per user, type and hour; the keys that are remembered end with the watermark."""
+    keyed = events.withWatermark("t", late).withColumn("hour", F.date_trunc("hour", "t"))
+    return keyed.dropDuplicatesWithinWatermark(["user_id", "event_type", "hour"]).select("user_id", "event_type", "hour")
+
+
+def settled(events: DataFrame, within: str = "1 day") -> DataFrame:
+    """Clicks joined to purchases of the same user within a day after: both sides' state ends with their watermarks."""
+    late = events.withWatermark("t", "1 hour")
+    a = late.where("event_type = 'click'").select(F.col("event_id").alias("observation"), F.col("user_id").alias("u"), F.col("t").alias("seen"))
+    b = late.where("event_type = 'purchase'").select(F.col("event_id").alias("settlement"), "user_id", F.col("t").alias("done"), "value")
+    on = (F.col("u") == F.col("user_id")) & (F.col("done") >= F.col("seen")) & (F.col("done") <= F.col("seen") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, on).select("observation", "settlement", "value")
