@@ -11,13 +11,13 @@ threshold of 4 that is 15.5 anchors a block on average, out of 2^26, so the tabl
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,8 @@ BLOCK_BITS = 31
 SHORT_RUN = 8
 #: Anchors with more fingerprints are compared in pairs of parts of at most this size, each pair a row group of its own.
 PART = 8192
+#: Rows of a component that one round settles, after the first round.
+LEADS = 32
 
 
 # ---- fingerprints
@@ -255,6 +257,15 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / either if either else 1.0
 
 
+def greedy(leads: list, similarity: float) -> list:
+    """Of rows in order those that are not similar to an earlier one that stays."""
+    stay: list = []
+    for x in leads:
+        if not any(jaccard(x["shingles"], y["shingles"]) >= similarity for y in stay):
+            stay.append({"digest": x["digest"], "shingles": x["shingles"]})
+    return stay
+
+
 def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 4,
     similarity: float = 0.8, seed: int = 42,
@@ -263,8 +274,9 @@ def drop_near_copies(
 
     Candidates are the components of linked fingerprints; inside one, a row goes only if its set of ``words``-word
     shingles has a Jaccard similarity of ``similarity`` or more to a row that stays (smallest id first, null ids
-    last). Each round keeps the first row of every component that is left and takes out what is similar to it; rounds
-    end when nothing is left. Equal texts are one row in these rounds. Texts without words are equal to each other.
+    last). The first round keeps the first row of every component and takes out what is similar to it; each later round
+    settles the first ``LEADS`` rows that are left of a component, in order, and does the same, so the outcome is that
+    of one row at a time. Rounds end when nothing is left. Equal texts are one row in these rounds. Texts without words are equal to each other.
     Rows with null or repeated ids are told apart by their text, and equal rows among them are one.
     """
     key = free_name(docs, "key_")
@@ -286,19 +298,23 @@ def drop_near_copies(
     member = materialise(member, "members")
     texts = docs.select(row_key.alias("row_key"), text.alias("text")).join(member, "row_key").dropDuplicates(["row_key"])
     left = materialise(_shingle_sets(texts.select("id", "digest", "root", "text"), words, seed), "shingles")
-    like = F.udf(lambda a, b: jaccard(a, b) >= similarity, "boolean")  # two numpy arrays a row: no batching to gain
+    kept_leads = F.udf(lambda leads: greedy(leads, similarity), "array<struct<digest: string, shingles: binary>>")
+    like = F.udf(lambda own, leads: any(jaccard(own, x) >= similarity for x in leads), "boolean")
     gone: list[DataFrame] = []
+    leads = 1
     while not left.isEmpty():
-        first = left.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("f"))
-        first = materialise(first.select("root", F.col("f.digest").alias("lead")), "leads")
-        lead = left.join(first, (left["root"] == first["root"]) & (left["digest"] == first["lead"]), "left_semi")
-        lead = materialise(lead.select("root", F.col("digest").alias("lead"), F.col("shingles").alias("lead_shingles")), "lead-shingles")
-        judged = left.join(lead, "root").where("digest <> lead").withColumn("like", like("shingles", "lead_shingles"))
-        judged = materialise(judged.drop("lead", "lead_shingles"), "judged")
-        gone.append(judged.where("like").select("digest"))
-        left = judged.where("not like").drop("like")
+        order = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "digest")
+        first = left.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leads)
+        pack = first.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("nth", "digest", "shingles"))).alias("leads"))  # ``leads`` rows at most
+        pack = materialise(pack.select("root", F.col("leads.digest").alias("tried"), kept_leads("leads").alias("stay")), "leads")
+        out_of = pack.select("root", F.explode(F.array_except("tried", "stay.digest")).alias("digest"))
+        judged = left.join(pack, "root").where(~F.array_contains("tried", F.col("digest"))).withColumn("like", like("shingles", F.col("stay.shingles")))
+        judged = materialise(judged.drop("tried", "stay"), "judged")
+        gone.append(judged.where("like").select("digest").unionByName(out_of.select("digest")))
+        left, leads = judged.where("not like").drop("like"), LEADS
+    removed = materialise(reduce(DataFrame.unionByName, gone), "removed") if gone else None
     kept = firsts.select("digest", F.col("row_key").alias(key))
-    for part in gone:
-        kept = kept.join(part, "digest", "left_anti")
+    if removed is not None:
+        kept = kept.join(removed, "digest", "left_anti")
     out = docs.withColumn(key, row_key).join(kept.select(key), key).dropDuplicates([key])
     return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
