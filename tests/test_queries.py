@@ -10,7 +10,7 @@ import pytest
 
 from barwright.plans.registry import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def norm(v):
