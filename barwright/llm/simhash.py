@@ -10,6 +10,7 @@ threshold of 4 that is 15.5 anchors a block on average, out of 2^26, so the tabl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache, reduce
 from itertools import combinations
@@ -31,6 +32,10 @@ SHORT_RUN = 8
 PART = 8192
 #: Rows of a component that one round settles, after the first round.
 LEADS = 32
+#: Texts a shingle's frequency is estimated on, and the most frequent shingles known by name; both only order shingles.
+SAMPLE, COMMON = 20_000, 200_000
+#: Texts with a prefix shingle in common up to which all pairs are verified; more are linked to their first, unverified.
+PAIRED = 32
 
 
 # ---- fingerprints
@@ -257,6 +262,91 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / either if either else 1.0
 
 
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The rarest of the distinct ``hashes``, so many that a set with this similarity has one of them in its own prefix.
+
+    A similar set shares ``similarity`` of the hashes at least; in any order that all sets agree on, the first of the
+    shared ones is then among each set's first n - ceil(similarity n) + 1. ``common`` (sorted) come last, by ``seen``.
+    """
+    n = len(hashes)
+    keep = n - math.ceil(similarity * n - 1e-9) + 1
+    if keep >= n or not len(common):
+        return hashes[:keep]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    often = np.where(common[at] == hashes, seen[at], 0)
+    return hashes[np.lexsort((hashes, often))[:keep]]
+
+
+def _prefix_rows(docs: DataFrame, words: int, seed: int, similarity: float, common: np.ndarray, seen: np.ndarray) -> DataFrame:
+    """(token, own, print, n) for each prefix shingle of each row (digest, text); ``own`` stands for the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = batch.column(0).to_pylist()
+            for at in range(0, len(digests), 1000):
+                tokens, owners, prints, sizes = [], [], [], []
+                for d, t in zip(digests[at : at + 1000], batch.column(1).slice(at, 1000).cast(pa.binary())):
+                    h = shingle_hashes(t.as_py(), words, seed)
+                    if not len(h):
+                        continue
+                    distinct = np.unique(h)
+                    tokens.append(prefix(distinct, similarity, common, seen).view(np.int64))
+                    owners.append(np.full(len(tokens[-1]), np.uint64(int(d[:16], 16))).view(np.int64))
+                    prints.append(np.full(len(tokens[-1]), np.uint64(fingerprint(h))).view(np.int64))
+                    sizes.append(np.full(len(tokens[-1]), len(distinct), np.int32))
+                if tokens:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, owners, prints, sizes)], ["token", "own", "print", "n"])
+
+    return docs.select("digest", "text").mapInArrow(run, "token long, own long, print long, n int")
+
+
+def _common_shingles(docs: DataFrame, texts: int, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, that a sample of about ``SAMPLE`` of the ``texts`` texts has often, and how often."""
+    some = docs.where(F.pmod(F.xxhash64("digest"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / max(texts, SAMPLE)) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(1).cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words, seed)).view(np.int64))], ["token"])
+
+    counts = some.select("digest", "text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("seen"))
+    table = counts.where("seen >= 4").orderBy(F.desc("seen"), "token").limit(COMMON).toArrow()
+    common, seen = table.column("token").to_numpy().view(np.uint64), table.column("seen").to_numpy()
+    order = np.argsort(common)
+    return np.ascontiguousarray(common[order]), np.ascontiguousarray(seen[order])
+
+
+def prefix_links(docs: DataFrame, texts: int, words: int, similarity: float, seed: int) -> DataFrame:
+    """Links (u, v) between fingerprints of ``docs`` (digest, text); all texts with ``similarity`` are connected by them.
+
+    Exact, whatever the fingerprints: similar texts share a shingle of their prefixes. Texts that share one are
+    verified pair by pair; where more than ``PAIRED`` do, all are linked to one, as near copies of one text would be.
+    """
+    common, seen = _common_shingles(docs, texts, words, seed)
+    rows = materialise(_prefix_rows(docs, words, seed, similarity, common, seen), "prefixes")
+    # Nearly all shingles have one text; minima and maxima are partial aggregates, so a common one is no large group.
+    shared = rows.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("token")
+    shared = materialise(shared, "shared")
+    rows = materialise(rows.join(shared, "token").distinct(), "candidates")
+    groups = materialise(rows.groupBy("token").agg(F.count("*").alias("texts"), F.min("print").alias("first")), "tokens")
+    large = rows.join(groups.where(F.col("texts") > PAIRED), "token")
+    stars = large.select(F.col("first").alias("u"), F.col("print").alias("v")).where("u <> v").distinct()
+    small = rows.join(groups.where(F.col("texts") <= PAIRED).select("token"), "token")
+    # No more than PAIRED texts a row here.
+    pack = small.groupBy("token").agg(F.collect_list(F.struct("own", "print", "n")).alias("x"))
+    pairs = pack.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).where("a.own < b.own AND a.print <> b.print")
+    pairs = pairs.where(F.least("a.n", "b.n") >= F.lit(similarity - 1e-9) * F.greatest("a.n", "b.n"))
+    pairs = pairs.select(F.col("a.own").alias("a"), F.col("a.print").alias("u"), F.col("b.own").alias("b"), F.col("b.print").alias("v")).distinct()
+    pairs = materialise(pairs, "pairs")
+    needed = materialise(pairs.select(F.col("a").alias("own")).unionByName(pairs.select(F.col("b").alias("own"))).distinct(), "needed")
+    own = F.conv(F.substring("digest", 1, 16), 16, -10).cast("long")
+    sets = _shingle_sets(docs.select(own.alias("own"), "text").join(needed, "own"), words, seed)
+    sets = materialise(sets.dropDuplicates(["own"]), "sets")
+    alike = F.udf(lambda a, b: jaccard(a, b) >= similarity, "boolean")
+    both = pairs.join(sets.select(F.col("own").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("own").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.where(alike("x", "y")).select("u", "v").unionByName(stars).distinct()
+
+
 def greedy(leads: list, similarity: float) -> list:
     """Of rows in order those that are not similar to an earlier one that stays."""
     stay: list = []
@@ -272,7 +362,8 @@ def drop_near_copies(
 ) -> DataFrame:
     """``docs`` without near copies: of each group one row stays, all columns as they were.
 
-    Candidates are the components of linked fingerprints; inside one, a row goes only if its set of ``words``-word
+    Candidates are the components of fingerprints that are linked, or whose texts share a rare shingle and are similar
+    (``prefix_links``), so no similar pair is missed; inside one, a row goes only if its set of ``words``-word
     shingles has a Jaccard similarity of ``similarity`` or more to a row that stays (smallest id first, null ids
     last). The first round keeps the first row of every component and takes out what is similar to it; each later round
     settles the first ``LEADS`` rows that are left of a component, in order, and does the same, so the outcome is that
@@ -290,7 +381,8 @@ def drop_near_copies(
     prints = fingerprints(docs.select(digest.alias("digest"), text.alias("text")), "digest", "text", words, seed)
     prints = materialise(prints.distinct(), "fingerprints")
     nodes = materialise(prints.groupBy(F.col("fingerprint").alias("print")).agg(F.count("*").alias("n")), "prints")
-    found = components(links(nodes.select("print"), threshold))
+    exact = prefix_links(docs.select(digest.alias("digest"), text.alias("text")), firsts.count(), words, similarity, seed)
+    found = components(links(nodes.select("print"), threshold).unionByName(exact))
     rooted = nodes.join(found, nodes["print"] == found["node"], "left").select("print", "n", F.coalesce("root", "print").alias("root"))
     sizes = rooted.groupBy("root").agg(F.sum("n").alias("size"))
     crowded = materialise(rooted.join(sizes.where("size > 1"), "root").select("print", "root"), "groups")
