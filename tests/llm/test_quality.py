@@ -64,3 +64,16 @@ def test_edge_rows(spark):
     assert [r.doc_id for r in kept] == [9, 9] and list(kept[0].asDict()) == more.columns
     assert quality.keep_documents(docs.limit(0), labels).collect() == []
     assert quality.assess(docs.limit(0), labels.limit(0)).collect() == []
+
+
+def test_languages_with_few_labels_have_cutoffs_in_the_pipeline(spark):
+    """One joint sequence certifies what single rules can't: bad documents of sf0.1 that stay, by language."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r.doc_id for r in quality.keep_documents(docs, labels).select("doc_id").collect()}
+    passed = {r.doc_id for r in quality.assess(docs, labels.limit(0)).where("NOT base_failed").select("doc_id").collect()}
+    marks = labels.join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "quality").distinct().collect()
+    n, stay = (Counter((r.lang, r.quality) for r in marks if r.doc_id in some) for some in (passed, kept))
+    assert {lang: n[lang, 0] for lang in ("de", "en", "es", "fr")} == {"de": 50, "en": 166, "es": 32, "fr": 43}
+    assert {lang: stay[lang, 0] for lang in ("de", "en", "es", "fr")} == {"de": 20, "en": 0, "es": 17, "fr": 22}
+    assert all(n[lang, 1] - stay[lang, 1] <= quality.RISK * n[lang, 1] for lang in ("de", "en", "es", "fr"))
