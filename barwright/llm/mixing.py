@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,6 @@ from .common import column, free_name, materialise, n_words, running_totals
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 SEED = 17
-#: Rounds that add, for each source, the one document that brings its words nearest to the target.
-ROUNDS = 3
 
 
 def water_fill(sources: DataFrame, epochs: float = EPOCHS) -> DataFrame:
@@ -46,12 +46,31 @@ def source_table(sized: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
     return materialise(ranked.select("source", "source_size", weight.alias("weight")), "sources")
 
 
+def _words(taken: DataFrame) -> DataFrame:
+    return taken.groupBy(F.col("source").alias("source_")).agg(F.sum("size").alias("got"))
+
+
+def _fill(summed: DataFrame, total: str) -> tuple[DataFrame, DataFrame]:
+    """(taken, left) of rows with words: those that fit in their source's open part one after the other, and the others.
+
+    ``total``: the sum of sizes before a row, over all sources. In ``left`` the open part is less what was taken.
+    """
+    starts = materialise(summed.groupBy(F.col("source").alias("source_")).agg(F.min(total).alias("start")), "starts")
+    rows = summed.where("size > 0").join(starts, F.col("source").eqNullSafe(F.col("source_")))
+    fits = F.col(total) - F.col("start") + F.col("size") <= F.col("open")
+    rows = materialise(rows.select("source", "size", "before", "open", fits.alias("fits")), "filled")
+    taken = rows.where("fits").select("source", "size", F.col("before").alias("picked"))
+    rest = rows.where("NOT fits").drop("fits").join(materialise(_words(taken), "got"), F.col("source").eqNullSafe(F.col("source_")), "left")
+    return taken, rest.withColumn("open", F.col("open") - F.coalesce("got", F.lit(0))).drop("source_", "got")
+
+
 def draw(rows: DataFrame, seed: int = SEED) -> DataFrame:
     """Adds ``copies`` to rows (id, source, size, source_size, target, digest).
 
     Every document of a source is taken the whole number of times its target holds the source. For the fractional
-    part the source's documents are taken in the order of their seeded hashes as long as they fit in it; then, in
-    ``ROUNDS`` rounds, the one that is left and brings the sum nearest to it. Equal rows are interchangeable.
+    part the source's documents are taken in the order of their seeded hashes as long as they fit in it. Those larger
+    than what is still open are passed over and the rest is filled in the same way, until none fits; then the one that
+    brings the sum nearest to it is added, if one does. Equal rows are interchangeable.
     """
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(epochs + F.lit(1e-12)).cast("long")).withColumn(
@@ -60,20 +79,27 @@ def draw(rows: DataFrame, seed: int = SEED) -> DataFrame:
     # Sums over each source in hash order, across partitions: a running sum over (source, hash) less the source's start.
     order = [F.col("source").asc_nulls_last(), F.xxhash64(F.lit(seed), "id", "digest"), F.col("id"), F.col("digest")]
     summed = materialise(running_totals(rows.withColumn("at", F.col("size")), order, "at", "before"), "filled")
-    starts = materialise(summed.groupBy(F.col("source").alias("source_")).agg(F.min("before").alias("start")), "starts")
-    filled = summed.join(starts, F.col("source").eqNullSafe(F.col("source_"))).drop("source_", "at")
-    fits = (F.col("size") > 0) & (F.col("before") - F.col("start") + F.col("size") <= F.col("part"))
-    state = materialise(filled.withColumn("drawn", fits).drop("start"), "drawn")
-    for _ in range(ROUNDS):
-        have = state.groupBy(F.col("source").alias("source_")).agg(F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).alias("have"))
-        left = state.join(materialise(have, "have"), F.col("source").eqNullSafe(F.col("source_")))
-        open_ = F.col("part") - F.col("have")
-        left = left.where((F.col("size") > 0) & ~F.col("drawn") & (F.abs(open_ - F.col("size")) < open_))
+    taken, left = _fill(summed.withColumn("open", F.col("part")), "before")
+    picked = [taken]
+    while True:
         # Documents with words have places of their own in the running sum, so ``before`` tells them apart.
-        pick = left.groupBy("source").agg(F.min(F.struct(F.abs(open_ - F.col("size")), "before")).alias("p"))
-        pick = materialise(pick.select(F.col("p.before").alias("picked")), "picks")
-        state = state.join(pick, (F.col("before") == F.col("picked")) & (F.col("size") > 0), "left")
-        state = materialise(state.withColumn("drawn", F.col("drawn") | F.col("picked").isNotNull()).drop("picked"), "drawn")
+        fitting = materialise(left.where(F.col("size") <= F.col("open")), "fitting")
+        if fitting.isEmpty():
+            break
+        again = running_totals(fitting, [F.col("source").asc_nulls_last(), F.col("before")], "size", "so_far")
+        taken, rest = _fill(again, "so_far")
+        picked.append(taken)
+        # What didn't fit before may still come nearest in the end; it sees the same open part.
+        got = materialise(_words(taken), "got")
+        over = left.where(F.col("size") > F.col("open")).join(got, F.col("source").eqNullSafe(F.col("source_")), "left")
+        over = over.withColumn("open", F.col("open") - F.coalesce("got", F.lit(0))).drop("source_", "got")
+        left = materialise(rest.unionByName(over), "left")
+    # No document that is left fits, so one that comes nearer to the target leaves nothing open.
+    nearest = left.where(F.col("size") < 2 * F.col("open")).groupBy("source").agg(F.min(F.struct("size", "before")).alias("p"))
+    picked.append(nearest.select(F.col("p.before").alias("picked")))
+    chosen = materialise(reduce(DataFrame.unionByName, [p.select("picked") for p in picked]), "picks")
+    state = summed.join(chosen, (F.col("before") == F.col("picked")) & (F.col("size") > 0), "left")
+    state = materialise(state.withColumn("drawn", F.col("picked").isNotNull()).drop("picked", "at"), "drawn")
     return state.withColumn("copies", F.col("whole") + F.col("drawn").cast("long"))
 
 

@@ -64,3 +64,14 @@ def test_edge_rows(spark):
     assert list(taken[0].asDict()) == docs.columns
     assert sum(words(r.text) for r in taken) == sum(r.taken for r in got)
     assert mixing.mix(docs.limit(0)).collect() == [] == mixing.repeat_documents(docs.limit(0)).collect()
+
+
+def test_a_giant_document_does_not_end_the_filling(spark):
+    """Wherever the giants fall in the order, what fits is taken: 1,000 documents of 100 words and one that is too long."""
+    rows = [(f"{s}-{i}", f"s{s}", 100 if i else 100_000) for s in range(12) for i in range(1001)]
+    table = spark.createDataFrame([(i, s, n, 200_000, 50_000.0, 7) for i, s, n in rows], "id string, source string, size long, source_size long, target double, digest long")
+    got, taken = mixing.draw(table).collect(), defaultdict(int)
+    assert sorted(r.id for r in got) == sorted(r[0] for r in rows) and {r.copies for r in got} == {0, 1}
+    for r in got:
+        taken[r.source] += r.size * r.copies
+    assert dict(taken) == {f"s{s}": 50_000 for s in range(12)}
