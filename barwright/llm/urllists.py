@@ -9,8 +9,6 @@ from .common import materialise
 
 #: Length of the time buckets that intervals and captures meet in, in days.
 BUCKET_DAYS = 30
-#: Parent domains of a host that entries may name: at most so many, from the registered domain's side.
-LABELS = 6
 
 
 def host_of(url: Column) -> Column:
@@ -33,7 +31,7 @@ def keys_of(url: Column) -> Column:
     labels = F.split(host, r"\.")
     n = F.size(labels)
     parents = F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(LABELS - 1)), lambda i: i <= n - 2),
+        F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: i <= n - 2),
         lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i + 1, F.greatest(n - i, F.lit(0))), ".").alias("key"), (i + 2).alias("rank")),
     )
     first = F.array(

@@ -34,3 +34,13 @@ def test_edge_rows(spark):
         assert sorted(got, key=str) == sorted(((c[0], *c[2:]) for c in CAPTURES), key=str)
     assert {r.verdict for r in urllists.judge(captures, entries.limit(0)).collect()} == {"allow"}
     assert urllists.judge(captures.limit(0), entries).collect() == []
+
+
+def test_all_parents_of_a_long_host(spark):
+    """Ten labels: entries for the registered domain and for each longer parent apply, one for the last label does not."""
+    host = "a.b.c.d.e.f.g.h.example.com"
+    keys = [host.split(".", i)[-1] for i in range(10)]
+    for key, want in [(k, "block") for k in keys[:9]] + [(keys[9], "allow")]:
+        entries = spark.createDataFrame([("domain", key, D(0), "block")], "kind string, key string, day date, action string")
+        captures = spark.createDataFrame([(1, f"http://{host}/", D(1)), (2, "http://com/", D(1))], "capture long, url string, fetched date")
+        assert {r.capture: r.verdict for r in urllists.judge(captures, entries).collect()} == {1: want, 2: "allow"}
