@@ -10,19 +10,18 @@ threshold of 4 that is 15.5 anchors a block on average, out of 2^26, so the tabl
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_by_run, column, free_name, materialise
+from .common import batches_by_run, column, materialise
 from .components import components
 
 BLOCK_BITS = 31
@@ -30,12 +29,6 @@ BLOCK_BITS = 31
 SHORT_RUN = 8
 #: Anchors with more fingerprints are compared in pairs of parts of at most this size, each pair a row group of its own.
 PART = 8192
-#: Rows of a component that one round settles, after the first round.
-LEADS = 32
-#: Texts a shingle's frequency is estimated on, and the most frequent shingles known by name; both only order shingles.
-SAMPLE, COMMON = 20_000, 200_000
-#: Texts with a prefix shingle in common up to which all pairs are verified; more are linked to their first, unverified.
-PAIRED = 32
 
 
 # ---- fingerprints
@@ -150,8 +143,8 @@ def forest(prints: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
 
 
-def run_links(keys: np.ndarray, prints: np.ndarray, threshold: int, part: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Links (u, v, False) in runs of equal keys; of runs longer than ``part`` the rows (key, fingerprint, True)."""
+def run_links(keys: np.ndarray, prints: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (u, v) in runs of equal keys."""
     edges = np.flatnonzero(np.diff(keys)) + 1
     starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(keys)]])
     sizes = ends - starts
@@ -162,36 +155,30 @@ def run_links(keys: np.ndarray, prints: np.ndarray, threshold: int, part: int) -
         if not len(i):
             break
         i = i[np.bitwise_count(bits[i] ^ bits[i + lag]) <= threshold]
-        yield prints[i], prints[i + lag], False
+        yield prints[i], prints[i + lag]
     for a, b in zip(starts[sizes > SHORT_RUN].tolist(), ends[sizes > SHORT_RUN].tolist()):
-        if b - a > part:
-            yield keys[a:b], prints[a:b], True
-        else:
-            yield *forest(prints[a:b], threshold), False
+        yield forest(prints[a:b], threshold)
 
 
-LINKS = "u long, v long, open boolean"
-
-
-def _compared(rows: DataFrame, key: str, threshold: int, part: int) -> DataFrame:
-    """Rows (key long, print long) to links and, marked open, the rows of runs that are too long for one task."""
+def _compared(rows: DataFrame, key: str, threshold: int) -> DataFrame:
+    """Rows (key long, print long) to links (u, v) between rows of equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches_by_run(batches, key):
             keys, prints = (table.column(c).to_numpy() for c in (key, "print"))
-            for u, v, is_open in run_links(keys, prints, threshold, part):
+            for u, v in run_links(keys, prints, threshold):
                 if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), is_open))], ["u", "v", "open"])
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return rows.repartition(key).sortWithinPartitions(key, "print").mapInArrow(run, LINKS)
+    return rows.repartition(key).sortWithinPartitions(key, "print").mapInArrow(run, "u long, v long")
 
 
 def links(prints: DataFrame, threshold: int = 4, part: int = PART) -> DataFrame:
     """Links (u long, v long) between distinct fingerprints of ``prints`` (column print long, no repeats).
 
     Every two fingerprints within ``threshold`` bits are connected by the rows; inside a crowded anchor these are a
-    spanning forest instead of all pairs. No anchor is capped: one with more than ``part`` fingerprints is dealt out
-    as pairs of parts, each compared by itself.
+    spanning forest instead of all pairs. No anchor is capped: anchors are counted first (partial aggregates), and one
+    with more than ``part`` fingerprints is dealt out as pairs of parts, each compared by itself.
     """
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,18 +189,16 @@ def links(prints: DataFrame, threshold: int = 4, part: int = PART) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], ["anchor", "print"])
 
     at_anchor = prints.select("print").mapInArrow(replicate, "anchor long, print long")
-    first = materialise(_compared(at_anchor, "anchor", threshold, part).distinct(), "links")
-    done = first.where("not open").select("u", "v")
-    crowded = first.where("open").select(F.col("u").alias("anchor"), F.col("v").alias("print"))
-    if crowded.isEmpty():
-        return done
-    parts = crowded.groupBy("anchor").agg((F.floor(F.count("*") / F.lit(part // 2)) + 1).cast("int").alias("n"))
-    dealt = crowded.join(parts, "anchor").withColumn("own", F.pmod(F.xxhash64("print"), F.col("n")).cast("int"))
+    parts = at_anchor.groupBy("anchor").agg((F.floor(F.count("*") / F.lit(part // 2)) + 1).cast("int").alias("n")).where("n > 2")
+    parts = materialise(parts, "crowded-anchors")
+    if parts.isEmpty():
+        return materialise(_compared(at_anchor, "anchor", threshold).distinct(), "links")
+    done = _compared(at_anchor.join(parts, "anchor", "left_anti"), "anchor", threshold)
+    dealt = at_anchor.join(parts, "anchor").withColumn("own", F.pmod(F.xxhash64("print"), F.col("n")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     keyed = pairs.select(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("anchor"), "print")
     # Hashed keys that meet by chance are only compared needlessly; a part pair is about ``part`` rows.
-    again = _compared(keyed.distinct(), "anchor", threshold, 2**62)
-    return done.unionByName(again.select("u", "v")).distinct()
+    return materialise(done.unionByName(_compared(keyed.distinct(), "anchor", threshold)).distinct(), "links")
 
 
 def near_classes(
@@ -233,180 +218,3 @@ def near_classes(
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialise(rooted.join(least, "root").select("print", "component_id"), "components")
     return prints.join(named, prints["fingerprint"] == named["print"]).select(id_col, "fingerprint", "component_id")
-
-
-# ---- dropping near copies
-
-
-def _shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """Adds ``shingles``: the sorted distinct shingle hashes of column text, as little-endian bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
-            sets = [np.unique(shingle_hashes(t.as_py(), words, seed)).astype("<u8").tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [c for c, n in zip(batch.columns, batch.schema.names) if n != "text"] + [pa.array(sets, pa.binary())],
-                [n for n in batch.schema.names if n != "text"] + ["shingles"],
-            )
-
-    fields = [f for f in docs.schema.fields if f.name != "text"]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("shingles", T.BinaryType())]))
-
-
-def jaccard(a: bytes, b: bytes) -> float:
-    """Of two sorted sets of hashes; of two empty ones 1."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    either = len(x) + len(y) - both
-    return both / either if either else 1.0
-
-
-def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """The rarest of the distinct ``hashes``, so many that a set with this similarity has one of them in its own prefix.
-
-    A similar set shares ``similarity`` of the hashes at least; in any order that all sets agree on, the first of the
-    shared ones is then among each set's first n - ceil(similarity n) + 1. ``common`` (sorted) come last, by ``seen``.
-    """
-    n = len(hashes)
-    keep = n - math.ceil(similarity * n - 1e-9) + 1
-    if keep >= n or not len(common):
-        return hashes[:keep]
-    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-    often = np.where(common[at] == hashes, seen[at], 0)
-    return hashes[np.lexsort((hashes, often))[:keep]]
-
-
-def _prefix_rows(docs: DataFrame, words: int, seed: int, similarity: float, common: np.ndarray, seen: np.ndarray) -> DataFrame:
-    """(token, own, print, n) for each prefix shingle of each row (digest, text); ``own`` stands for the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = batch.column(0).to_pylist()
-            for at in range(0, len(digests), 1000):
-                tokens, owners, prints, sizes = [], [], [], []
-                for d, t in zip(digests[at : at + 1000], batch.column(1).slice(at, 1000).cast(pa.binary())):
-                    h = shingle_hashes(t.as_py(), words, seed)
-                    if not len(h):
-                        continue
-                    distinct = np.unique(h)
-                    tokens.append(prefix(distinct, similarity, common, seen).view(np.int64))
-                    owners.append(np.full(len(tokens[-1]), np.uint64(int(d[:16], 16))).view(np.int64))
-                    prints.append(np.full(len(tokens[-1]), np.uint64(fingerprint(h))).view(np.int64))
-                    sizes.append(np.full(len(tokens[-1]), len(distinct), np.int32))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, owners, prints, sizes)], ["token", "own", "print", "n"])
-
-    return docs.select("digest", "text").mapInArrow(run, "token long, own long, print long, n int")
-
-
-def _common_shingles(docs: DataFrame, texts: int, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, sorted, that a sample of about ``SAMPLE`` of the ``texts`` texts has often, and how often."""
-    some = docs.where(F.pmod(F.xxhash64("digest"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / max(texts, SAMPLE)) + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column(1).cast(pa.binary()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words, seed)).view(np.int64))], ["token"])
-
-    counts = some.select("digest", "text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("seen"))
-    table = counts.where("seen >= 4").orderBy(F.desc("seen"), "token").limit(COMMON).toArrow()
-    common, seen = table.column("token").to_numpy().view(np.uint64), table.column("seen").to_numpy()
-    order = np.argsort(common)
-    return np.ascontiguousarray(common[order]), np.ascontiguousarray(seen[order])
-
-
-def prefix_links(docs: DataFrame, texts: int, words: int, similarity: float, seed: int) -> DataFrame:
-    """Links (u, v) between fingerprints of ``docs`` (digest, text); all texts with ``similarity`` are connected by them.
-
-    Exact, whatever the fingerprints: similar texts share a shingle of their prefixes. Texts that share one are
-    verified pair by pair; where more than ``PAIRED`` do, all are linked to one, as near copies of one text would be.
-    """
-    common, seen = _common_shingles(docs, texts, words, seed)
-    rows = materialise(_prefix_rows(docs, words, seed, similarity, common, seen), "prefixes")
-    # Nearly all shingles have one text; minima and maxima are partial aggregates, so a common one is no large group.
-    shared = rows.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("token")
-    shared = materialise(shared, "shared")
-    rows = materialise(rows.join(shared, "token").distinct(), "candidates")
-    groups = materialise(rows.groupBy("token").agg(F.count("*").alias("texts"), F.min("print").alias("first")), "tokens")
-    large = rows.join(groups.where(F.col("texts") > PAIRED), "token")
-    stars = large.select(F.col("first").alias("u"), F.col("print").alias("v")).where("u <> v").distinct()
-    small = rows.join(groups.where(F.col("texts") <= PAIRED).select("token"), "token")
-    # No more than PAIRED texts a row here.
-    pack = small.groupBy("token").agg(F.collect_list(F.struct("own", "print", "n")).alias("x"))
-    pairs = pack.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).where("a.own < b.own AND a.print <> b.print")
-    pairs = pairs.where(F.least("a.n", "b.n") >= F.lit(similarity - 1e-9) * F.greatest("a.n", "b.n"))
-    pairs = pairs.select(F.col("a.own").alias("a"), F.col("a.print").alias("u"), F.col("b.own").alias("b"), F.col("b.print").alias("v")).distinct()
-    pairs = materialise(pairs, "pairs")
-    needed = materialise(pairs.select(F.col("a").alias("own")).unionByName(pairs.select(F.col("b").alias("own"))).distinct(), "needed")
-    own = F.conv(F.substring("digest", 1, 16), 16, -10).cast("long")
-    sets = _shingle_sets(docs.select(own.alias("own"), "text").join(needed, "own"), words, seed)
-    sets = materialise(sets.dropDuplicates(["own"]), "sets")
-    alike = F.udf(lambda a, b: jaccard(a, b) >= similarity, "boolean")
-    both = pairs.join(sets.select(F.col("own").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("own").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.where(alike("x", "y")).select("u", "v").unionByName(stars).distinct()
-
-
-def greedy(leads: list, similarity: float) -> list:
-    """Of rows in order those that are not similar to an earlier one that stays."""
-    stay: list = []
-    for x in leads:
-        if not any(jaccard(x["shingles"], y["shingles"]) >= similarity for y in stay):
-            stay.append({"digest": x["digest"], "shingles": x["shingles"]})
-    return stay
-
-
-def drop_near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 4,
-    similarity: float = 0.8, seed: int = 42,
-) -> DataFrame:
-    """``docs`` without near copies: of each group one row stays, all columns as they were.
-
-    Candidates are the components of fingerprints that are linked, or whose texts share a rare shingle and are similar
-    (``prefix_links``), so no similar pair is missed; inside one, a row goes only if its set of ``words``-word
-    shingles has a Jaccard similarity of ``similarity`` or more to a row that stays (smallest id first, null ids
-    last). The first round keeps the first row of every component and takes out what is similar to it; each later round
-    settles the first ``LEADS`` rows that are left of a component, in order, and does the same, so the outcome is that
-    of one row at a time. Rounds end when nothing is left. Equal texts are one row in these rounds. Texts without words are equal to each other.
-    Rows with null or repeated ids are told apart by their text, and equal rows among them are one.
-    """
-    key = free_name(docs, "key_")
-    text = F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
-    digest, own = F.sha2(text, 256), column(docs, id_col)
-    row_key = F.concat_ws(":", digest, F.coalesce(own.cast("string"), F.lit("null")))  # a text's copies are dealt out by id
-    # Exact copies first: only one row of each text takes part in what follows.
-    firsts = docs.select(own.alias("id"), digest.alias("digest")).groupBy("digest").agg(F.min("id").alias("id"))
-    firsts = firsts.withColumn("row_key", F.concat_ws(":", "digest", F.coalesce(F.col("id").cast("string"), F.lit("null"))))
-    firsts = materialise(firsts, "texts")
-    prints = fingerprints(docs.select(digest.alias("digest"), text.alias("text")), "digest", "text", words, seed)
-    prints = materialise(prints.distinct(), "fingerprints")
-    nodes = materialise(prints.groupBy(F.col("fingerprint").alias("print")).agg(F.count("*").alias("n")), "prints")
-    exact = prefix_links(docs.select(digest.alias("digest"), text.alias("text")), firsts.count(), words, similarity, seed)
-    found = components(links(nodes.select("print"), threshold).unionByName(exact))
-    rooted = nodes.join(found, nodes["print"] == found["node"], "left").select("print", "n", F.coalesce("root", "print").alias("root"))
-    sizes = rooted.groupBy("root").agg(F.sum("n").alias("size"))
-    crowded = materialise(rooted.join(sizes.where("size > 1"), "root").select("print", "root"), "groups")
-    member = prints.join(crowded, prints["fingerprint"] == crowded["print"]).select("digest", "root").join(firsts, "digest")
-    member = materialise(member, "members")
-    texts = docs.select(row_key.alias("row_key"), text.alias("text")).join(member, "row_key").dropDuplicates(["row_key"])
-    left = materialise(_shingle_sets(texts.select("id", "digest", "root", "text"), words, seed), "shingles")
-    kept_leads = F.udf(lambda leads: greedy(leads, similarity), "array<struct<digest: string, shingles: binary>>")
-    like = F.udf(lambda own, leads: any(jaccard(own, x) >= similarity for x in leads), "boolean")
-    gone: list[DataFrame] = []
-    leads = 1
-    while not left.isEmpty():
-        order = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "digest")
-        first = left.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leads)
-        pack = first.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("nth", "digest", "shingles"))).alias("leads"))  # ``leads`` rows at most
-        pack = materialise(pack.select("root", F.col("leads.digest").alias("tried"), kept_leads("leads").alias("stay")), "leads")
-        out_of = pack.select("root", F.explode(F.array_except("tried", "stay.digest")).alias("digest"))
-        judged = left.join(pack, "root").where(~F.array_contains("tried", F.col("digest"))).withColumn("like", like("shingles", F.col("stay.shingles")))
-        judged = materialise(judged.drop("tried", "stay"), "judged")
-        gone.append(judged.where("like").select("digest").unionByName(out_of.select("digest")))
-        left, leads = judged.where("not like").drop("like"), LEADS
-    removed = materialise(reduce(DataFrame.unionByName, gone), "removed") if gone else None
-    kept = firsts.select("digest", F.col("row_key").alias(key))
-    if removed is not None:
-        kept = kept.join(removed, "digest", "left_anti")
-    out = docs.withColumn(key, row_key).join(kept.select(key), key).dropDuplicates([key])
-    return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])

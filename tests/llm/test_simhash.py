@@ -89,41 +89,3 @@ def test_edge_rows(spark):
     want = [(1, 0, 1), (2, 0, 1), (3, 0, 1), (None, as_signed("a b"), 5), (5, as_signed("a b"), 5), (5, as_signed("a b"), 5), (6, as_signed("w " * 8), 6), (7, as_signed("a b"), 5)]
     assert got == sorted(want, key=str)
     assert simhash.near_classes(docs.limit(0)).collect() == []
-    kept = simhash.drop_near_copies(docs).collect()
-    assert sorted(r.doc_id for r in kept) == [1, 5, 6]
-    assert kept[0].asDict().keys() == set(docs.columns)
-    assert simhash.drop_near_copies(docs.limit(0)).collect() == []
-
-
-def test_near_copies_go_and_others_stay(spark):
-    rng = np.random.default_rng(1)
-    words = [f"w{i}" for i in range(500)]
-    a = list(rng.choice(words, 300))
-    b, c = a.copy(), list(rng.choice(words, 300))
-    b[7] = "changed"
-    half = a[:150] + c[:150]
-    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c)), (4, " ".join(half)), (5, " ".join(a))], SCHEMA)
-    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == [1, 3, 4]
-
-
-@pytest.mark.parametrize("paired", [simhash.PAIRED, 2])
-def test_short_near_copies_go(spark, monkeypatch, paired):
-    """Pairs from 0.8 up whose fingerprints differ in far more than 4 bits; the result is that of one row at a time."""
-    monkeypatch.setattr(simhash, "PAIRED", paired)
-    rng = np.random.default_rng(8)
-    texts = []
-    for n in [50, 60, 80, 100, 120] * 12:
-        a = [f"w{i}" for i in rng.integers(0, 3000, n)]
-        texts.append(a)
-        for places in ([n // 2], [n // 3], [3, n - 4])[: int(rng.integers(1, 4))]:
-            texts.append([*a])
-            for i in places:
-                texts[-1][i] = f"x{len(texts)}"
-    texts = [" ".join(texts[i]) for i in rng.permutation(len(texts))]
-    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5, 42)).tobytes() for t in texts]
-    want: list[int] = []
-    for i, s in enumerate(sets):
-        if all(simhash.jaccard(s, sets[j]) < 0.8 for j in want):
-            want.append(i)
-    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
-    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == want and len(want) < 0.8 * len(texts)
