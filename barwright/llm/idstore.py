@@ -16,16 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, fresh_folder, materialise, partition_id, running_totals
+from .common import batches_by_run, column, fresh_folder, materialise, running_totals
 from .files import make_folder, open_store
 from .tokens import encoder
 
 MAGIC = b"IDSTORE1"
 #: Texts encoded at a time.
 SLICE = 2048
+#: Bytes of text a shard holds, about, the most shards of a store, and rows that balance them.
+SHARD_BYTES, MAX_SHARDS, SAMPLE = 16 << 20, 100_000, 1_000_000
 #: Ids that a reader holds at a time.
 READ_IDS = 1 << 21
 
@@ -134,50 +137,145 @@ def text_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterato
             yield batch.slice(at, rows)
 
 
-SHARDS = "part int, path string, n_docs long, n_ids long"
+SHARDS = "part int, path string, n_docs long, n_ids long, n_null long, first_key long, last_key long"
+
+
+def split_points(source: DataFrame) -> tuple[np.ndarray, int]:
+    """Where shards begin, as columns (flag, key, place) in order, and the number of shards; null keys have the flag 0.
+
+    ``source``: (id, place, text). Shards hold about ``SHARD_BYTES`` of text each, or more where that would be over
+    ``MAX_SHARDS`` of them. The points come from a sample of some hundred rows a shard, at most ``SAMPLE``, weighed by
+    the length of their texts; they only balance the shards. Equal keys are told apart by place, so that no shard has to
+    hold all of them.
+    """
+    rows, size = source.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    shards = min(MAX_SHARDS, int((size or 0) // SHARD_BYTES) + 1)
+    if shards == 1:
+        return np.empty((3, 0), np.int64), 1
+    share = min(1.0, min(SAMPLE, 100 * shards) / rows)
+    some = source.where(F.xxhash64("place") / F.lit(2.0**64) + 0.5 < share)
+    drawn = some.select(F.col("id").isNotNull().cast("long"), F.coalesce("id", F.lit(0)), "place", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).toArrow()
+    flag, key, place, weight = (c.to_numpy() for c in drawn.columns)
+    order = np.lexsort((place, key, flag))
+    heavy = np.cumsum(weight[order])
+    at = np.unique(np.searchsorted(heavy, heavy[-1] * np.arange(1, shards) / shards)) if len(heavy) else np.empty(0, np.int64)
+    return np.array([flag[order][at], key[order][at], place[order][at]]), len(at) + 1
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, append ``end_id``, and write shards in ascending key order below ``folder``.
 
-    Returns the written shards (part, path, n_docs, n_ids); part numbers ascend with the keys. Null texts are empty,
-    null keys come first, and rows with equal keys follow each other in the table's order. A task that is run
-    again writes under a new name, and only the names of tasks that Spark counts are returned.
+    Returns the manifest, which also stands in ``folder``: the shards (part, path, n_docs, n_ids, n_null, first_key,
+    last_key); part numbers ascend with the keys. Texts are encoded where they are read, and only ids are shuffled. Null
+    texts are empty, null keys come first, and rows with equal keys follow each other in the table's order. A task that
+    is run again writes under a new name, and only the names of tasks that Spark counts are returned.
     """
     make_folder(folder)
+    source = docs.select(column(docs, id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("place"), column(docs, text_col).cast("string").alias("text"))
+    points, shards = split_points(source)
+    shared = docs.sparkSession.sparkContext.broadcast(points)  # at most MAX_SHARDS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        wide = enc.tokenizer.get_vocab_size() > 65536 or end_id > 65535
-        store, root = open_store(folder)
-        name = f"{partition_id():06d}-{uuid.uuid4().hex}"
-        keys, sizes, n_null, out = [], [], 0, None
+        kind = "<u4" if enc.tokenizer.get_vocab_size() > 65536 or end_id > 65535 else "<u2"
         for part in text_slices(batches):
+            ids, lengths = enc.encode(part.column(2))
+            raw = np.insert(ids, np.cumsum(lengths), end_id).astype(kind).tobytes()
+            ends = np.concatenate([[0], np.cumsum(lengths + 1)]) * np.dtype(kind).itemsize
+            keys = [np.asarray(part.column(0).is_valid()).astype(np.int64), part.column(0).fill_null(0).to_numpy(), part.column(1).to_numpy()]
+            flag, key, place = (np.concatenate([p, k]) for p, k in zip(shared.value, keys))
+            order = np.lexsort((np.arange(len(key)), place, key, flag))  # a point comes before the row it was drawn from
+            begun = np.cumsum(order < len(points[0]))
+            number = np.empty(len(order), np.int32)
+            number[order] = begun
+            coded = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([pa.array(number[len(points[0]) :]), part.column(0), part.column(1), coded], ["part", "id", "place", "ids"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = open_store(folder)
+        name, keys, sizes, n_null, out, wide = uuid.uuid4().hex, [], [], 0, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
             if out is None:
+                number = batch.column(0)[0].as_py()
+                name = f"{number:06d}-{name}"
                 out = store.open_output_stream(f"{root}/{name}.ids")
-            ids, lengths = enc.encode(part.column(1))
-            ids = np.insert(ids, np.cumsum(lengths), end_id)
-            out.write(ids.astype("<u4" if wide else "<u2").tobytes())
-            n_null += part.column(0).null_count
-            keys.append(part.column(0).fill_null(0).to_numpy().astype(np.int64))
-            sizes.append(lengths + 1)
+            coded = batch.column(3)
+            lengths = pc.binary_length(coded).to_numpy()
+            raw = np.frombuffer(coded.buffers()[2], np.uint8) if lengths.sum() else np.empty(0, np.uint8)
+            begin = np.frombuffer(coded.buffers()[1], np.int32)[coded.offset]
+            out.write(raw[begin : begin + lengths.sum()].tobytes())
+            n_null += batch.column(1).null_count
+            keys.append(batch.column(1).fill_null(0).to_numpy().astype(np.int64))
+            sizes.append(lengths)
         if out is None:
             return
         out.close()
-        index = ShardIndex.build(np.concatenate(keys), n_null, np.concatenate(sizes), wide)
+        enc = encoder(tokenizer)
+        wide = enc.tokenizer.get_vocab_size() > 65536 or end_id > 65535
+        index = ShardIndex.build(np.concatenate(keys), n_null, np.concatenate(sizes) // (4 if wide else 2), wide)
         with store.open_output_stream(f"{root}/{name}.idx") as f:
             f.write(index.to_bytes())
-        yield pa.RecordBatch.from_pylist(
-            [{"part": partition_id(), "path": f"{folder}/{name}", "n_docs": len(index.keys), "n_ids": int(index.offsets[-1])}],
-            schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]),
-        )
-
-    source = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
-    # Equal keys are dealt out by their place in the table, so that no range has to hold all of them.
-    placed = source.withColumn("place", F.monotonically_increasing_id())
-    order = [F.col("id").asc_nulls_first(), F.col("place")]
-    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialise(ordered.select("id", "text").mapInArrow(run, SHARDS), "shards")
+        own = index.keys[n_null:]
+        ends = (own[0], own[-1]) if len(own) else (None, None)
+        values = [number, f"{folder}/{name}", len(index.keys), int(index.offsets[-1]), n_null, *ends]
+        kinds = [pa.int32(), pa.string(), *[pa.int64()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["part", "path", "n_docs", "n_ids", "n_null", "first_key", "last_key"])
+
+    coded = source.mapInArrow(encode, "part int, id long, place long, ids binary")
+    ordered = coded.repartitionById(shards, F.col("part")).sortWithinPartitions(F.col("id").asc_nulls_first(), "place")
+    ordered.mapInArrow(write, SHARDS).write.parquet(f"{folder}/manifest")
+    return open_shards(docs.sparkSession, folder)
+
+
+def open_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of a store that ``write_shards`` wrote."""
+    return spark.read.schema(SHARDS).parquet(f"{folder}/manifest")
+
+
+def lookup(shards: DataFrame, keys: DataFrame, key_col: str = "id") -> DataFrame:
+    """(id, record, ids array<int>): the records of each key, each found by one probe of its shard's perfect hash.
+
+    The manifest's key ranges (at most ``MAX_SHARDS`` of them) route a key to the shards that may hold it. Repeated keys
+    are one, null and absent ones have no rows; a key with several records has a row for each, numbered within their
+    shard. Only shards that are asked for are opened.
+    """
+    spark = shards.sparkSession
+    known = sorted(tuple(r) for r in shards.where("first_key IS NOT NULL").select("part", "first_key", "last_key", "path").collect())
+    first, last = (np.array([k[c] for k in known], np.int64) for c in (1, 2))
+    ranges = spark.sparkContext.broadcast((first, last, [k[3] for k in known]))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, _ = ranges.value
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            lo, hi = np.searchsorted(last, key), np.searchsorted(first, key, "right")
+            n = np.maximum(hi - lo, 0)
+            place = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(np.repeat(key, n))], ["shard", "id"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches_by_run(batches, "shard"):
+            at, key = (table.column(c).to_numpy() for c in ("shard", "id"))
+            for shard in np.unique(at).tolist():
+                store, path = open_store(ranges.value[2][shard])
+                with store.open_input_stream(f"{path}.idx") as f:
+                    index = ShardIndex.from_bytes(f.read())
+                own = key[at == shard]
+                firsts, counts = index.find(own)
+                counts[counts > 0] *= index.keys[firsts[counts > 0]] == own[counts > 0]  # the fingerprint errs once in 2^32
+                kind = np.dtype("<u4" if index.wide else "<u2")
+                with store.open_input_file(f"{path}.ids") as f:
+                    for k, a, n in zip(own.tolist(), firsts.tolist(), counts.tolist()):
+                        for r in range(a, a + n):
+                            f.seek(int(index.offsets[r]) * kind.itemsize)
+                            ids = np.frombuffer(f.read(int(index.offsets[r + 1] - index.offsets[r]) * kind.itemsize), kind)
+                            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([r]), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))], ["id", "record", "ids"])
+
+    asked = keys.select(column(keys, key_col).cast("long").alias("id")).dropna().distinct()
+    routed = asked.mapInArrow(route, "shard int, id long").repartition("shard").sortWithinPartitions("shard", "id")
+    return routed.mapInArrow(find, "id long, record long, ids array<int>")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ class PieceEncoder:
 
     The word splitter of byte-level BPE looks at no more than the white space ahead, so what a text encodes to is
     the same cut at a space before a visible character, at a line end between visible characters, and between a
-    letter and a full stop or the like. Texts are cut there, and only pieces not seen before are encoded. With a
-    tokenizer of another kind all texts are encoded whole. At most about ``max_pieces`` pieces are remembered; then
+    letter and a full stop or the like. Texts are cut there, and only pieces not seen before are encoded. Texts that
+    hold the string of a special token, and with a tokenizer of another kind all texts, are encoded whole. At most about ``max_pieces`` pieces are remembered; then
     it forgets them all.
     """
 
@@ -32,7 +32,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path) as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -40,6 +39,7 @@ class PieceEncoder:
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
             and spec["normalizer"] is None and all(t["special"] for t in spec["added_tokens"])
         )
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.max_pieces = max_pieces
         self._forget()
 
@@ -106,7 +106,16 @@ class PieceEncoder:
         """All ids of the texts one after the other (uint32), and the number of each text's ids; null: none."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         if self.splits:
-            return self._split(texts)
+            whole = np.zeros(len(texts), bool)
+            for token in self.special:
+                whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+            if not whole.any():
+                return self._split(texts)
+            flat, sizes = self._split(pc.if_else(pa.array(whole), "", texts))
+            ids = self._whole(texts.filter(pa.array(whole)).to_pylist())
+            places = np.repeat((np.cumsum(sizes) - sizes)[whole], list(map(len, ids)))
+            sizes[whole] = list(map(len, ids))
+            return np.insert(flat, places, np.array([i for x in ids for i in x], np.uint32)), sizes
         ids = self._whole(texts.to_pylist())
         return np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 

@@ -16,7 +16,6 @@ from barwright.llm.tokens import PieceEncoder, default_tokenizer
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -35,6 +34,13 @@ def test_cut_texts_encode_as_whole_ones(plain):
     assert ids.tolist() == plain("a b") and sizes.tolist() == [0, 2]
 
 
+def test_special_tokens_encode_as_the_library_has_them(plain):
+    texts = ["a <|endoftext|> b", "foo  <|endoftext|>  bar.x", "<|endoftext|>", "no <|endof text|>", "x\n<|endoftext|><|endoftext|>\ny z", ""]
+    ids, sizes = PieceEncoder(default_tokenizer()).encode(pa.array(texts))
+    assert [g.tolist() for g in np.split(ids, np.cumsum(sizes)[:-1])] == [plain(t) for t in texts]
+    assert plain(texts[0]) == [64, 220, 50256, 275]
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 20000, dtype=np.int64))
     h = idstore.PerfectHash.build(keys.view(np.uint64))
@@ -70,6 +76,25 @@ def test_id_store_edge_rows(spark, plain):
     assert idstore.token_store(docs.limit(0), default_tokenizer()).collect() == []
 
 
+def test_keyed_access_equals_brute_force(spark, plain, tmp_path, monkeypatch):
+    monkeypatch.setattr(idstore, "SHARD_BYTES", 2000)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 7, rng.randrange(-500, 500)]), "word " * rng.randrange(30)) for _ in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    idstore.write_shards(docs, default_tokenizer(), 0, f"file://{tmp_path}/store")
+    shards = idstore.open_shards(spark, f"file://{tmp_path}/store")
+    manifest = sorted((r.asDict() for r in shards.collect()), key=lambda r: r["part"])
+    assert len(manifest) > 20 and sum(m["n_docs"] for m in manifest) == len(rows)
+    ranges = [(m["first_key"], m["last_key"]) for m in manifest if m["first_key"] is not None]
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:])) and sum(a == (7, 7) for a in ranges) > 2  # a hot key is split
+    asked = [*range(-520, 520, 3), 7, 7, None, 2**62]
+    got = idstore.lookup(shards, spark.createDataFrame([(k,) for k in asked], "id long")).collect()
+    want = sorted((i, [*plain(t), 0]) for i, t in rows if i in set(asked) - {None})
+    assert sorted((r.id, r.ids) for r in got) == want
+    back = idstore.read_shards(shards).collect()
+    assert sorted(((r.id, r.ids_crc32) for r in back), key=str) == sorted(((i, crc([*plain(t), 0])) for i, t in rows), key=str)
+
+
 def check_packing(rows, docs, plain, capacity=1024):
     own, places = defaultdict(list), defaultdict(list)
     for r in rows:
