@@ -5,8 +5,8 @@ median of the sample's projections on the difference of two of its vectors. Ever
 of each tree. A query walks all trees at once, always from the open branch with the smallest distance to the
 hyperplanes crossed so far, until it has ``visits`` leaves; its candidates in them are ranked by exact distance. How
 many leaves that takes is measured on the sample: the fewest that find ``recall`` of the true neighbours of some of its
-vectors. Trees that large tables share have the same depth for sample and table, so the share of rows looked at is the
-same in both, and neighbours in the table are nearer and easier to find.
+vectors. The trees are the same for sample and table, so the share of rows looked at is the same in both, and neighbours
+in the table are nearer and easier to find. A query goes on until the leaves visited of one tree hold enough rows.
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import batches_by_run, column, materialise
 
-TREES, LEAF, RECALL, SAMPLE = 12, 256, 0.96, 20_000
+TREES, LEAF, RECALL, SAMPLE = 12, 256, 0.94, 20_000
 #: Sample vectors whose neighbours are searched to choose the number of visits.
 PROBES = 64
 #: Rows of a leaf that one row group holds at most, about; larger leaves are dealt out by hashed id.
 BLOCK = 4096
+#: Queries of a leaf that one row group compares at most, about.
+ASKED = 8192
 
 
 class Forest:
@@ -60,12 +62,14 @@ class Forest:
             out[t] = node - (2**self.depth - 1)
         return out
 
-    def search(self, q: np.ndarray, visits: int) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of the shared queue, ``visits`` of them at most."""
+    def search(self, q: np.ndarray, visits: int, sizes: np.ndarray | None = None, wanted: int = 0) -> list[tuple[int, int]]:
+        """(tree, leaf) in the order of the shared queue: ``visits`` of them, and more until those of one tree hold
+        ``wanted`` rows by ``sizes`` (tree, leaf), if there are as many."""
+        held = np.zeros(len(self.normals), np.int64)
         margins = np.einsum("tnd,d->tn", self.normals, q) - self.cuts
         inner, found = 2**self.depth - 1, []
         heap = [(0.0, t, 0) for t in range(len(self.normals))]
-        while heap and len(found) < visits:
+        while heap and (len(found) < visits or held.max() < wanted):
             far, t, node = heapq.heappop(heap)
             while node < inner:
                 m = margins[t, node]
@@ -73,6 +77,8 @@ class Forest:
                 heapq.heappush(heap, (max(far, abs(m)), t, other))
                 node = near
             found.append((t, node - inner))
+            if sizes is not None:
+                held[t] += sizes[t, node - inner]
         return found
 
 
@@ -120,12 +126,13 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def neighbours(
     vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding",
-    trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK,
+    trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK, asked_rows: int = ASKED,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found for each row whose id is divisible by ``every``.
 
     Candidates are all rows but those with the query's id. Of equal vectors the ``k`` + 1 smallest ids are enough, so
-    copies never crowd a leaf; a leaf that is large all the same is dealt out in blocks. Empty table: empty result.
+    copies never crowd a leaf; the candidates and the queries of a leaf that is large all the same are dealt out in
+    blocks. All candidates, if there are fewer than ``k``. Empty table: empty result.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -157,7 +164,7 @@ def neighbours(
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 asked_by, q = part.column(0).to_numpy(), _matrix(part.column(1), dims)
-                found = [forest.value.search(x, visits) for x in q]
+                found = [forest.value.search(x, visits, held.value, k + 1) for x in q]
                 # Sampled rows in the visited leaves are found there again: nothing beyond the k-th of them matters.
                 bound = np.full(len(q), np.inf)
                 own, points_, at_leaf = sampled.value
@@ -172,11 +179,22 @@ def neighbours(
                 yield pa.RecordBatch.from_arrays([keys, part.column(0).take(owner), part.column(1).take(owner), pa.array(bound).take(owner)], ["leaf", "id", "v", "bound"])
 
     placed = base.mapInArrow(place, "leaf long, id long, v array<double>, bound double")
-    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(ask, "leaf long, id long, v array<double>, bound double")
-    large = materialise(placed.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "large-leaves")
-    if not large.isEmpty():
-        placed = placed.join(large, "leaf", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1)))).drop("blocks")
-        asked = asked.join(large, "leaf", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    sizes = np.zeros(trees * 2**depth, np.int64)
+    for r in placed.groupBy("leaf").count().collect():  # a number for each leaf
+        sizes[r["leaf"]] = r["count"]
+    held = spark.sparkContext.broadcast(sizes.reshape(trees, -1))
+    queries = rows.where(F.col("vec_id") % every == 0)
+    asked = queries.mapInArrow(ask, "leaf long, id long, v array<double>, bound double")
+    # Candidates of a leaf by ``block``, and its queries by ``asked_rows`` if they spread evenly; all pairs of parts meet.
+    blocks, parts = np.maximum(1, -(-sizes // block)), int(queries.count() * visits / (trees * 2**depth)) // asked_rows + 1
+    large = spark.createDataFrame([(int(i), int(blocks[i])) for i in np.flatnonzero(blocks > 1)], "leaf long, blocks int")
+    if (blocks > 1).any() or parts > 1:
+        count = F.coalesce("blocks", F.lit(1))
+        part = lambda own, other: (own * parts + other).cast("int")
+        placed = placed.join(F.broadcast(large), "leaf", "left").withColumn("own", F.pmod(F.xxhash64("id"), count)).drop("blocks")
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", part(F.col("own"), F.col("other")))
+        asked = asked.join(F.broadcast(large), "leaf", "left").withColumn("own", F.explode(F.sequence(F.lit(0), count - 1)))
+        asked = asked.withColumn("part", part(F.col("own"), F.pmod(F.xxhash64("id"), F.lit(parts))))
     else:
         placed, asked = placed.withColumn("part", F.lit(0)), asked.withColumn("part", F.lit(0))
     key = (F.col("leaf") * F.lit(1 << 20) + F.col("part")).alias("key")

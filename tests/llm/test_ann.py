@@ -68,3 +68,29 @@ def test_edge_rows(spark):
     few = ann.neighbours(frame.where("vec_id IN (0, 1)")).collect()
     assert [(r.query_id, r.vec_id) for r in few] == [(0, 1)]
     assert ann.neighbours(frame.limit(0)).collect() == [] == ann.neighbours(frame.where("vec_id = 200")).collect()
+
+
+def test_clustered_vectors_need_few_distances():
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.standard_normal((300, 24)) * 4, 20, axis=0) + rng.standard_normal((6000, 24)) * 0.3
+    x = x[rng.permutation(len(x))]
+    forest = ann.Forest(x[:3000], 12, 6)
+    visits, at, hits, looked = ann.visits_needed(forest, x[:3000], 10, 0.94), forest.leaves(x), 0, 0
+    for i in range(0, 6000, 100):
+        seen = np.zeros(len(x), bool)
+        for t, leaf in forest.search(x[i], visits):
+            looked += int((at[t] == leaf).sum())
+            seen |= at[t] == leaf
+        hits += seen[np.argsort(ann.distances(x[i : i + 1], x)[0])[1:11]].sum()
+    assert hits >= 0.9 * 600 and looked < 0.3 * 60 * len(x)
+
+
+def test_search_goes_on_until_rows_are_enough(spark):
+    """Leaves of a few rows each: all queries get ten neighbours; dealt-out queries find the same."""
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((400, 3)))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    some = {"every": 4, "leaf": 4, "recall": 0.0}
+    got = sorted(map(tuple, ann.neighbours(frame, **some).collect()))
+    assert [r[:2] for r in got] == [(q, i) for q in range(0, 400, 4) for i in range(1, 11)]
+    assert sorted(map(tuple, ann.neighbours(frame, block=3, asked_rows=1, **some).collect())) == got
