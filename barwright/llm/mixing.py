@@ -118,29 +118,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return found.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
-def repeat_documents(docs: DataFrame, **options) -> DataFrame:
+def repeat_documents(docs: DataFrame, weights: tuple = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """``docs`` as the mix takes them: each row as many times as it is taken, columns as they were.
 
-    Rows with equal ids and texts are interchangeable, so they share out their copies among themselves.
+    Rows with equal ids, texts and sources share out their copies evenly, in an order that only their columns decide, so
+    reruns agree. Null texts and sources are values of their own. Empty table: empty result; columns may have any names.
     """
-    key = free_name(docs, "mix_key_")
-    text = column(docs, "text").cast("string")
-    own = F.concat_ws(":", F.coalesce(column(docs, "doc_id").cast("string"), F.lit("null")), F.sha2(F.coalesce(text, F.lit("")), 256), F.coalesce(column(docs, "source"), F.lit("")))
-    keyed = docs.withColumn(key, own)
-    sized = keyed.select(F.col(key).alias("doc_id"), "text", "source")
-    counts = materialise(mix_copies(sized, **options), "copies")
-    nth = free_name(keyed, "nth_")
-    numbered = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1))))
-    joined = numbered.join(counts, (F.col(key) == F.col("copy_key_")) & (F.col(nth) == F.col("copy_nth_")))
-    some = joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))))
-    return some.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
-
-
-def mix_copies(docs: DataFrame, weights: tuple = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """(copy_key_, copy_nth_, copies_) of the rows that are taken at least once; equal rows are numbered."""
-    text = column(docs, "text").cast("string")
-    sized = materialise(docs.select(F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("digest")), "sizes")
-    targets = water_fill(source_table(sized, weights), epochs).withColumnRenamed("source", "source_")
-    found = draw(sized.join(targets, F.col("source").eqNullSafe(F.col("source_"))).drop("source_"), seed)
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("copies")))
-    return found.withColumn("copy_nth_", nth).where("copies > 0").select(F.col("id").alias("copy_key_"), "copy_nth_", F.col("copies").alias("copies_"))
+    named = [free_name(docs, c) for c in ("mix_id_", "mix_a_", "mix_b_", "mix_source_")]
+    text, source = column(docs, "text").cast("string"), column(docs, "source").cast("string")
+    key = [column(docs, "doc_id"), F.xxhash64(text), F.xxhash64(F.lit(7), text), source]
+    sized = docs.select(*[k.alias(n) for k, n in zip(key, named)], n_words(text).alias("size"))
+    sized = materialise(sized.groupBy(*named).agg(F.min("size").alias("each"), F.count("*").alias("rows")), "sizes")
+    # One row for each document, with its weight in words; rows that are equal are spread over places of their own.
+    places = sized.select(*named, "each", "rows", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("nth"))
+    single = places.select(F.struct(*named).alias("id"), F.col(named[3]).alias("source"), F.col("each").alias("size"), F.col("nth").alias("digest"))
+    targets = water_fill(source_table(single, weights), epochs).withColumnRenamed("source", "source_")
+    found = draw(single.join(targets, F.col("source").eqNullSafe(F.col("source_"))).drop("source_"), seed)
+    copies, rows = free_name(docs, "mix_copies_"), free_name(docs, "mix_rows_")
+    counts = found.groupBy("id").agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
+    counts = materialise(counts.select(*[F.col("id").getField(n).alias(n) for n in named], copies, rows), "copies")
+    same = [k.eqNullSafe(F.col(n)) for k, n in zip(key, named)]
+    names = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    alone = docs.join(counts.where(F.col(rows) == 1), same).select(F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(free_name(docs, "mix_nth_")), *names).select(*names)
+    several = counts.where(F.col(rows) > 1)
+    if several.isEmpty():
+        return alone
+    # Equal rows are one with their number; of a key's different rows each gets its part of the key's copies.
+    row = F.struct(*[column(docs, c) for c in docs.columns]).alias("row")
+    equal = docs.join(several, same).select(row, *named, copies, rows).groupBy("row", *named, copies, rows).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*named).orderBy(F.xxhash64("row"), "row").rowsBetween(Window.unboundedPreceding, 0))
+    part = lambda at: F.floor(F.col(copies) * at / F.col(rows))
+    shared = equal.withColumn("upto", upto).withColumn("own", (part(F.col("upto")) - part(F.col("upto") - F.col("n"))).cast("long"))
+    spread = shared.where("own > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own"))))
+    return alone.unionByName(spread.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))

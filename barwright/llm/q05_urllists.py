@@ -48,7 +48,7 @@ named AS (
   SELECT page_id, 'url' AS kind, bare AS key, 0 AS rank FROM p
   UNION ALL SELECT page_id, 'host', host, 1 FROM p WHERE host <> ''
   UNION ALL SELECT page_id, 'domain', array_to_string(l[i + 1:], '.'), i + 2
-    FROM (SELECT page_id, l, unnest(range(0, least(6, len(l) - 1))) AS i FROM (SELECT page_id, string_split(host, '.') AS l FROM p WHERE host <> ''))),
+    FROM (SELECT page_id, l, unnest(range(0, len(l) - 1)) AS i FROM (SELECT page_id, string_split(host, '.') AS l FROM p WHERE host <> ''))),
 hits AS (
   SELECT n.page_id, n.rank, s.kind, s.key, s.a, s.day
   FROM named n JOIN spans s ON n.kind = s.kind AND n.key = s.key AND s.a < 2

@@ -35,9 +35,9 @@ measured AS (
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
     coalesce(list_sum(list_transform(range(1, len(p) + 1), lambda k: CASE WHEN k = len(p) THEN 3 ELSE least(3, p[k + 1] - p[k]) END)), 0)::BIGINT AS n_repeat_words,
-    len(l)::BIGINT AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals
+    len(l)::BIGINT AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals, md5(text) AS digest
   FROM places),
-good AS (SELECT * FROM measured WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+good AS (SELECT DISTINCT * EXCLUDE (doc_id) FROM measured WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
 long_ AS ({longs}),
 grid AS (SELECT * FROM (VALUES {grid}) AS g(rule, step, cutoff)),
 seen AS (

@@ -39,12 +39,12 @@ _COVERED = "aggregate(sequence(1, size(p) - 1), 3, (n, k) -> n + least(3, p[k] -
 
 
 def measure(df: DataFrame, text: Column, lang: Column) -> DataFrame:
-    """(row, stratum, counts): ``row`` is the struct of ``df``'s columns, the counts are long.
+    """(row, stratum, digest, counts): ``row`` is the struct of ``df``'s columns, the counts are long.
 
     Words are runs without U+0020 and U+0009 to U+000D, over the whole text; null text: no words, all counts 0.
     ``n_dup_lines`` counts lines with a word that equal an earlier one, ``n_repeat_words`` the words inside
     three-word windows that occur twice or more in the text, the first time included (windows are told apart by
-    64-bit hashes). The stratum of a null language is its own.
+    64-bit hashes). The stratum of a null language is its own. ``digest`` is a 64-bit hash of the text.
     """
     row = F.struct(*[column(df, c) for c in df.columns])
     base = df.select(row.alias("row"), F.coalesce(text.cast("string"), F.lit("")).alias("text"), F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit("-")).alias("stratum"))
@@ -70,7 +70,7 @@ def measure(df: DataFrame, text: Column, lang: Column) -> DataFrame:
     }
     # As the one row of an inlined array: filters and rules above then read the counts and never compute them again.
     one = F.struct(*[c.cast("long").alias(n) for n, c in counts.items()])
-    return windows.select("row", "stratum", F.inline(F.array(one)))
+    return windows.select("row", "stratum", F.xxhash64("text").alias("digest"), F.inline(F.array(one)))
 
 
 def base_failed() -> Column:
@@ -164,23 +164,34 @@ def good_documents(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("labelled")).distinct()
 
 
+def labelled_good(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, counts) of the measured rows (doc_id, stratum, digest, counts) with a good label, each text once.
+
+    Copies of a text are no draws of their own: counted each, they would make the binomial bound too sure.
+    """
+    good = measured.join(good_documents(labels), F.col("doc_id") == F.col("labelled"), "left_semi")
+    return good.select("stratum", "digest", *COUNTS).distinct().drop("digest")
+
+
 def assess(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """(doc_id, counts, base_failed, kept) for every row of ``docs`` (doc_id, text, lang).
 
-    Repeated rows are judged alike and count each for the cutoffs; null ids are never labelled. Without labels, or
+    Repeated rows are judged alike, and copies of a text count once for the cutoffs; null ids are never labelled. Without labels, or
     with too few in a stratum to certify anything, only the base rule rejects.
     """
     measured = measure(docs.select("doc_id", "text", "lang"), column(docs, "text"), column(docs, "lang"))
-    measured = materialise(measured.select(F.col("row.doc_id").alias("doc_id"), "stratum", *COUNTS), "measures")
-    good = measured.join(good_documents(labels), F.col("doc_id") == F.col("labelled"), "left_semi")
-    return judge(measured, cutoffs(good, risk, delta)).drop("stratum")
+    measured = materialise(measured.select(F.col("row.doc_id").alias("doc_id"), "stratum", "digest", *COUNTS), "measures")
+    return judge(measured, cutoffs(labelled_good(measured, labels), risk, delta)).drop("stratum", "digest")
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs`` that neither the base rule nor a certified cutoff rejects, columns as they were."""
-    rows = measure(docs, column(docs, "text"), column(docs, "lang"))
-    # Written before the join with the labels: Spark would push a semi join below the measures and shuffle the texts.
-    measured = materialise(rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "stratum", *COUNTS), "measures")
-    good = measured.join(good_documents(labels), F.col("doc_id") == F.col("labelled"), "left_semi")
-    kept = judge(rows, certified_cutoffs(good, risk, delta)).where("kept")
+    """The rows of ``docs`` that neither the base rule nor a certified cutoff rejects, columns as they were.
+
+    Null and empty texts have no words and go. Repeated rows are judged alike and all stay or go. Without labels only the
+    base rule rejects. Empty table: empty result; other columns may have any names. Rows are written once with their
+    measures, so nothing is measured twice, and only measures take part in the join with the labels.
+    """
+    rows = materialise(measure(docs, column(docs, "text"), column(docs, "lang")), "measures")
+    measured = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "stratum", "digest", *COUNTS)
+    kept = judge(rows, certified_cutoffs(labelled_good(measured, labels), risk, delta)).where("kept")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

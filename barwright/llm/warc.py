@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import column, fresh_folder, materialise, partition_id
 from .files import drop_folder, make_folder, open_store
 
-#: Payload bytes after which a writer starts another archive.
-ARCHIVE_BYTES = 64 << 20
+#: Bytes of records, and records, after which a writer starts another archive.
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 64 << 20, 100_000
 CRLF = b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -151,10 +151,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     out, z, size, place = store.open_output_stream(f"{root}/{name}", compression=None), zlib.compressobj(1, zlib.DEFLATED, 31), 0, 0
                 payload = html.as_py() or b""
                 sha = digest(payload)
-                out.write(z.compress(response(i, url, payload, sha)))
+                record = response(i, url, payload, sha)
+                out.write(z.compress(record))
                 rows.append({"archive": f"{folder}/{name}", "place": place, "page_id": i, "sha1": sha, "payload_bytes": len(payload)})
-                size, place = size + len(payload), place + 1
-                if size >= archive_bytes:
+                size, place = size + len(record), place + 1
+                if size >= archive_bytes or place >= ARCHIVE_RECORDS:
                     out.write(z.flush())
                     out.close()
                     out = None

@@ -66,6 +66,24 @@ def test_edge_rows(spark):
     assert mixing.mix(docs.limit(0)).collect() == [] == mixing.repeat_documents(docs.limit(0)).collect()
 
 
+def test_equal_rows_share_their_copies(spark):
+    """Null and empty sources are apart, and rows that differ in other columns alone get even parts."""
+    rows = [(1, "a b", None, 1)] * 5 + [(1, "a b", "", 1)] * 3 + [(2, "c d e", "x", i % 2) for i in range(7)] + [(3, None, None, 0)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `odd.name` int")
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source_size, r.size] += r.taken
+    runs = [Counter(map(tuple, mixing.repeat_documents(docs.repartition(n)).collect())) for n in (1, 7)]
+    assert runs[0] == runs[1]
+    got = Counter()
+    for (i, text, source, _), n in runs[0].items():
+        size = {None: 10, "": 6, "x": 21}[source]
+        got[i, size, words(text)] += n * words(text)
+    assert +got == +want
+    a, b = (runs[0][2, "c d e", "x", k] for k in (0, 1))
+    assert abs(a / 4 - b / 3) <= 1
+
+
 def test_a_giant_document_does_not_end_the_filling(spark):
     """Wherever the giants fall in the order, what fits is taken: 1,000 documents of 100 words and one that is too long."""
     rows = [(f"{s}-{i}", f"s{s}", 100 if i else 100_000) for s in range(12) for i in range(1001)]
