@@ -3,7 +3,7 @@
 First the components of SimHash fingerprints (anchor-point covering, ``simhash``) are settled: inside one, a text goes if
 it is similar to an earlier one. Two fingerprints at a similarity of 0.8 differ in some ten bits, which no anchor covering
 with a bearable number of anchors bridges. So what is left is joined exactly on rare shingles: texts that are similar share
-a shingle of their prefixes. Pairs that meet are verified, and of each component of similar texts one stays.
+so many shingles of their prefixes. Pairs that do are verified, and of each component of similar texts one stays.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ from .simhash import fingerprint, links, shingle_hashes
 SAMPLE, COMMON = 20_000, 200_000
 #: Texts of a group that one row group settles in order, about; larger groups are dealt out by hash.
 GROUP = 256
+#: Share of a text's shingles by which its prefix is longer than the shortest possible one. Similar texts share that many
+#: shingles of their prefixes, and one more, which pairs with a passage in common seldom do.
+MORE = 0.1
 #: Texts with a prefix shingle in common up to which each pair is looked at by itself.
 PAIRED = 32
 
@@ -38,14 +41,19 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
+def wanted(n: np.ndarray) -> np.ndarray:
+    """How many shingles of its prefix a text of ``n`` shingles shares with a similar one of as many or more at least."""
+    return 1 + (MORE * n).astype(np.int64)
+
+
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """The rarest of the distinct ``hashes``, so many that a set with this similarity has one of them in its own prefix.
+    """The rarest of the distinct ``hashes``: so many that similar sets share ``wanted`` of them in both prefixes.
 
-    A similar set shares ``similarity`` of the hashes at least; in any order that all sets agree on, the first of the
-    shared ones is then among each set's first n - ceil(similarity n) + 1. ``common`` (sorted) come last, by ``seen``.
+    A similar set shares ``similarity`` of the hashes at least; in any order that all sets agree on, the first k of the
+    shared ones are then among each set's first n - ceil(similarity n) + k. ``common`` (sorted) come last, by ``seen``.
     """
     n = len(hashes)
-    keep = n - math.ceil(similarity * n - 1e-9) + 1
+    keep = n - math.ceil(similarity * n - 1e-9) + int(wanted(np.array(n)))
     if keep >= n or not len(common):
         return hashes[:keep]
     at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
@@ -136,7 +144,7 @@ def _settle(docs: DataFrame, members: DataFrame, similarity: float, words: int,
             break
         parts = F.ceil(F.col("rows") / GROUP)
         dealt = members.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64(F.lit(len(rounds)), "a"), parts).cast("int"))
-        rows = _with_texts(docs, dealt.select("a", "b", "id", "grp", "part"))
+        rows = _with_texts(docs, materialise(dealt.select("a", "b", "id", "grp", "part"), "dealt"))
         order = ["grp", "part", F.col("id").asc_nulls_last(), "a", "b"]
         schema = members.select("a", "b", "id").schema
         gone = materialise(rows.repartition("grp", "part").sortWithinPartitions(*order).mapInArrow(run, schema), "gone")
@@ -165,8 +173,10 @@ def _meetings(texts: DataFrame) -> DataFrame:
 
 
 def _pairs_and_crowds(texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v, null) of texts that share a prefix shingle and may be similar by their sizes; of shingles that more
-    than ``PAIRED`` texts share the rows (own, null, token)."""
+    """Pairs (u, v, null) of texts that may be similar by their sizes and share ``wanted`` prefix shingles; of shingles that
+    more than ``PAIRED`` texts share the rows (own, null, token)."""
+
+    names = ["u", "v", "token", "wanted"]
 
     def compared(token: np.ndarray, own: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         edges = np.flatnonzero(np.diff(token)) + 1
@@ -175,16 +185,14 @@ def _pairs_and_crowds(texts: DataFrame, similarity: float) -> DataFrame:
         crowd = size > PAIRED
         if crowd.any():
             yield crowded(token[crowd], own[crowd])
-        found = set()
         for lag in range(1, min(PAIRED, int(size.max()))):
             i = np.flatnonzero((token[lag:] == token[:-lag]) & ~crowd[lag:] & (n[:-lag] >= similarity * n[lag:] - 1e-9))
-            found.update(zip(np.minimum(own[i], own[i + lag]).tolist(), np.maximum(own[i], own[i + lag]).tolist()))
-        if found:
-            u, v = (pa.array(x, pa.int64()) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([u, v, pa.nulls(len(found), pa.int64())], ["u", "v", "token"])
+            if len(i):  # n[i] is the smaller of the two
+                ends = [pa.array(f(own[i], own[i + lag])) for f in (np.minimum, np.maximum)]
+                yield pa.RecordBatch.from_arrays([*ends, pa.nulls(len(i), pa.int64()), pa.array(wanted(n[i]).astype(np.int32))], names)
 
     def crowded(token: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int64()), pa.array(token)], ["u", "v", "token"])
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int64()), pa.array(token), pa.nulls(len(own), pa.int32())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Of the last, still open run no more than PAIRED rows are held; rows of a run known to be crowded pass at once.
@@ -213,7 +221,10 @@ def _pairs_and_crowds(texts: DataFrame, similarity: float) -> DataFrame:
             yield from compared(*held)
 
     rows = _meetings(texts).repartition("token").sortWithinPartitions("token", "n", "own")
-    return materialise(rows.mapInArrow(run, "u long, v long, token long").distinct(), "meetings")
+    met = rows.mapInArrow(run, "u long, v long, token long, wanted int")
+    counted = met.groupBy("u", "v", "token").agg(F.count("*").alias("shared"), F.any_value("wanted").alias("wanted"))
+    # Texts that share a crowded shingle are compared there, whatever else they share.
+    return materialise(counted.where("token IS NOT NULL OR shared >= wanted").select("u", "v", "token"), "meetings")
 
 
 def _sets(docs: DataFrame, keys: DataFrame, words: int, seed: int) -> DataFrame:
@@ -284,9 +295,8 @@ def drop_near_copies(
     docs, keys = _once(docs, id_col, text_col)
     a, b = text_keys(column(docs, text_col))
     rows = docs.select(a.alias("a"), b.alias("b"), column(docs, id_col).alias("id"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"))
-    sketches = materialise(_sketches(rows, words, seed, similarity), "sketches")
     # One row of each text takes part in what follows.
-    texts = sketches.groupBy("a", "b").agg(F.min("id").alias("id"), *(F.any_value(c).alias(c) for c in ("print", "n", "prefix")))
+    texts = _sketches(rows, words, seed, similarity).groupBy("a", "b").agg(F.min("id").alias("id"), *(F.any_value(c).alias(c) for c in ("print", "n", "prefix")))
     texts = materialise(texts, "texts")
     first = texts.select(F.col("a").alias("a_"), F.col("b").alias("b_"), F.col("id").alias("first"))
     copies = keys.join(first, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_"))).where(~F.col("id").eqNullSafe(F.col("first"))).select("a", "b", "id")
@@ -312,8 +322,8 @@ def drop_near_copies(
         crowds = met.where("token IS NOT NULL").select("u", "token")
     pairs = met.where("token IS NULL").select("u", "v")
     taking_part = met.select("u").unionByName(met.where("v IS NOT NULL").select(F.col("v").alias("u"))).distinct()
-    wanted = texts.select("a", "b", "id").join(materialise(taking_part.withColumnRenamed("u", "a"), "verified"), "a").select("a", "b", "id")
-    sets = _sets(rows, wanted, words, seed)
+    looked_at = texts.select("a", "b", "id").join(materialise(taking_part.withColumnRenamed("u", "a"), "verified"), "a")
+    sets = _sets(rows, materialise(looked_at.select("a", "b", "id"), "looked-at"), words, seed)
     similar_pairs = _verified(pairs, sets, similarity)
     if not crowds.isEmpty():
         similar_pairs = similar_pairs.unionByName(_crowd_links(crowds, sets, similarity))
