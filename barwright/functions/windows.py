@@ -34,13 +34,12 @@ def robust_z(x: Column, n: int) -> Column:
     past = F.collect_list(x).over(w)
     middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
     bound = F.transform(
-        F.array(F.array_sort(past)),
-        lambda a: F.transform(F.array(middle(a)), lambda m: F.struct(m.alias("m"), middle(F.array_sort(F.transform(a, lambda v: F.abs(v - m)))).alias("mad")))[0],
-    )[0]
-    return F.when(
-        F.size(past) >= minimum(n),
-        F.try_divide(x - bound["m"], F.nullif(F.greatest(F.lit(MAD_SCALE) * bound["mad"], F.lit(SCALE_FLOOR) * F.abs(bound["m"])), F.lit(0.0))),
+        F.array(F.sort_array(past)),
+        lambda a: F.transform(F.array(middle(a)), lambda m: F.struct(x.alias("x"), m.alias("m"), middle(F.sort_array(F.transform(a, lambda v: F.abs(v - m)))).alias("mad")))[0],
     )
+    # As the one element of an array, so that median and deviation are computed once for all their uses.
+    z = F.transform(bound, lambda b: F.try_divide(b["x"] - b["m"], F.nullif(F.greatest(F.lit(MAD_SCALE) * b["mad"], F.lit(SCALE_FLOOR) * F.abs(b["m"])), F.lit(0.0))))[0]
+    return F.when(F.size(past) >= minimum(n), z)
 
 
 def pct_rank(x: Column, w: WindowSpec, group: list[str]) -> Column:
@@ -61,3 +60,12 @@ def run_length(condition: Column, name: str, df):
 
 def r6(x: Column | str) -> Column:
     return F.round(F.col(x) if isinstance(x, str) else x, 6)
+
+
+def near(x: Column | str) -> Column:
+    """Six digits by scaling and floor, which engines compute alike also where a seventh digit is 5."""
+    return F.floor((F.col(x) if isinstance(x, str) else x) * 1e6 + 0.5) / 1e6
+
+
+def near_sql(x: str) -> str:
+    return f"floor(({x}) * 1e6 + 0.5) / 1e6"

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import near
+
 UNIT = 86_400
 #: Windows in units.
 WINDOWS = {"s": 1, "m": 3, "l": 10}
@@ -61,13 +63,19 @@ MECHANISMS = {
 
 
 def features_sql() -> list[str]:
-    """Features as SQL over (symbol, sec, value, k, side); the same text runs on any engine with range frames."""
+    """Features as SQL over (symbol, sec, value, k, side); the same text runs on any engine with range frames.
+
+    Means and deviations come from sums of whole cents and counts, which are exact whatever the order of summing.
+    """
+    cents = "CAST(floor(value * 100 + 0.5) AS BIGINT)"
     out = []
     for name, units in WINDOWS.items():
         w = f"OVER (PARTITION BY symbol ORDER BY sec RANGE BETWEEN {units * UNIT} PRECEDING AND CURRENT ROW)"
+        n, mean = f"count(*) {w}", lambda x: f"CAST(sum({x}) {w} AS DOUBLE) / count(*) {w}"
+        spread = lambda x: f"sqrt(CAST({n} * sum({x} * {x}) {w} - sum({x}) {w} * sum({x}) {w} AS DOUBLE)) / {n}"
         out += [
-            f"count(*) {w} AS n{name}", f"sum(k) {w} AS v{name}", f"sum(side * k) {w} / nullif(sum(k) {w}, 0) AS f{name}", f"avg(value) {w} AS p{name}",
-            f"stddev_pop(value) {w} AS sd{name}", f"avg(k) {w} AS k{name}", f"stddev_pop(k) {w} AS sk{name}",
+            f"{n} AS n{name}", f"sum(k) {w} AS v{name}", f"sum(side * k) {w} / nullif(sum(k) {w}, 0) AS f{name}", f"{mean(cents)} / 100 AS p{name}",
+            f"{spread(cents)} / 100 AS sd{name}", f"{mean('CAST(k AS BIGINT)')} AS k{name}", f"{spread('CAST(k AS BIGINT)')} AS sk{name}",
         ]
         if name == "l":
             out += [f"max(value) {w} AS mx"]
@@ -77,7 +85,7 @@ def features_sql() -> list[str]:
 def scores(prints: DataFrame) -> DataFrame:
     """All scores for prints (symbol, event_id, sec, value, k, side); rows stay."""
     f = prints.selectExpr("*", *features_sql())
-    return f.select("symbol", "event_id", "sec", *[F.round(F.expr(e), 6).alias(n) for n, e in MECHANISMS.items()])
+    return f.select("symbol", "event_id", "sec", *[near(F.expr(e)).alias(n) for n, e in MECHANISMS.items()])
 
 
 def lifecycle(scored: DataFrame, names: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import levels as L
-from ..functions.windows import r6
+from ..functions.windows import near, r6
 from ..sources.tables import BOOKS, books
 from .registry import query
 
@@ -34,10 +34,10 @@ def book_stats(spark, sf_dir):
 
 
 @query(f"""WITH {SIDES}, g AS (SELECT r.book, r.side, sum(qty * abs(price - (bp + ap) / 2)) / sum(qty) AS c, sum(qty * exp(-5.0 * abs(price - (bp + ap) / 2) / ((bp + ap) / 2))) AS w FROM ranked r JOIN bk USING (book) WHERE bp IS NOT NULL AND ap IS NOT NULL GROUP BY ALL)
-SELECT book, round((bq - aq) / nullif(bq + aq, 0), 6) AS imbalance, round((b3 - a3) / nullif(b3 + a3, 0), 6) AS imbalance3, round((bq - b3 - (aq - a3)) / nullif(bq - b3 + aq - a3, 0), 6) AS deep_imbalance,
-  round(bqq / nullif(bq * bq, 0), 6) AS bid_hhi, round(aqq / nullif(aq * aq, 0), 6) AS ask_hhi, round(bq1 / nullif(bq, 0), 6) AS bid_touch_share, round(aq1 / nullif(aq, 0), 6) AS ask_touch_share,
-  round((SELECT c FROM g WHERE g.book = bk.book AND side = 'bid'), 6) AS bid_centroid, round((SELECT c FROM g WHERE g.book = bk.book AND side = 'ask'), 6) AS ask_centroid,
-  round(((SELECT w FROM g WHERE g.book = bk.book AND side = 'bid') - (SELECT w FROM g WHERE g.book = bk.book AND side = 'ask')) / nullif((SELECT sum(w) FROM g WHERE g.book = bk.book), 0), 6) AS tlpi
+SELECT book, floor(((bq - aq) / nullif(bq + aq, 0)) * 1e6 + 0.5) / 1e6 AS imbalance, floor(((b3 - a3) / nullif(b3 + a3, 0)) * 1e6 + 0.5) / 1e6 AS imbalance3, floor(((bq - b3 - (aq - a3)) / nullif(bq - b3 + aq - a3, 0)) * 1e6 + 0.5) / 1e6 AS deep_imbalance,
+  floor((bqq / nullif(bq * bq, 0)) * 1e6 + 0.5) / 1e6 AS bid_hhi, floor((aqq / nullif(aq * aq, 0)) * 1e6 + 0.5) / 1e6 AS ask_hhi, floor((bq1 / nullif(bq, 0)) * 1e6 + 0.5) / 1e6 AS bid_touch_share, floor((aq1 / nullif(aq, 0)) * 1e6 + 0.5) / 1e6 AS ask_touch_share,
+  floor(((SELECT c FROM g WHERE g.book = bk.book AND side = 'bid')) * 1e6 + 0.5) / 1e6 AS bid_centroid, floor(((SELECT c FROM g WHERE g.book = bk.book AND side = 'ask')) * 1e6 + 0.5) / 1e6 AS ask_centroid,
+  floor((((SELECT w FROM g WHERE g.book = bk.book AND side = 'bid') - (SELECT w FROM g WHERE g.book = bk.book AND side = 'ask')) / nullif((SELECT sum(w) FROM g WHERE g.book = bk.book), 0)) * 1e6 + 0.5) / 1e6 AS tlpi
 FROM bk""")
 def book_geometry(spark, sf_dir):
     """Imbalances, concentration, touch shares, centroids and the distance-decayed imbalance."""
@@ -46,10 +46,10 @@ def book_geometry(spark, sf_dir):
     deep = lambda x: L.total(x) - L.depth(x, 3)
     both = mid.isNotNull()
     return b.select(
-        "book", r6(L.imbalance(L.total(bid), L.total(ask))).alias("imbalance"), r6(L.imbalance(L.depth(bid, 3), L.depth(ask, 3))).alias("imbalance3"), r6(L.imbalance(deep(bid), deep(ask))).alias("deep_imbalance"),
-        r6(L.herfindahl(bid)).alias("bid_hhi"), r6(L.herfindahl(ask)).alias("ask_hhi"), r6(F.try_divide(L.best(bid, "qty"), L.total(bid))).alias("bid_touch_share"), r6(F.try_divide(L.best(ask, "qty"), L.total(ask))).alias("ask_touch_share"),
-        r6(F.when(both, L.centroid(bid, mid))).alias("bid_centroid"), r6(F.when(both, L.centroid(ask, mid))).alias("ask_centroid"),
-        r6(F.when(both, L.imbalance(L.decayed(bid, mid, 5.0), L.decayed(ask, mid, 5.0)))).alias("tlpi"),
+        "book", near(L.imbalance(L.total(bid), L.total(ask))).alias("imbalance"), near(L.imbalance(L.depth(bid, 3), L.depth(ask, 3))).alias("imbalance3"), near(L.imbalance(deep(bid), deep(ask))).alias("deep_imbalance"),
+        near(L.herfindahl(bid)).alias("bid_hhi"), near(L.herfindahl(ask)).alias("ask_hhi"), near(F.try_divide(L.best(bid, "qty"), L.total(bid))).alias("bid_touch_share"), near(F.try_divide(L.best(ask, "qty"), L.total(ask))).alias("ask_touch_share"),
+        near(F.when(both, L.centroid(bid, mid))).alias("bid_centroid"), near(F.when(both, L.centroid(ask, mid))).alias("ask_centroid"),
+        near(F.when(both, L.imbalance(L.decayed(bid, mid, 5.0), L.decayed(ask, mid, 5.0)))).alias("tlpi"),
     )
 
 

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import by_symbol, pct_rank, r6
+from ..functions.windows import by_symbol, near, near_sql, pct_rank, r6
 from ..sources.tables import BARS, TAPE, bars, table, tape
 from .registry import query
 
 S = "PARTITION BY symbol ORDER BY ts"
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, round(least(greatest((l_extendedprice - 20000) / 60000, 0), 1), 6) AS ramp, sign(l_discount - 0.05)::INT AS direction, round(l_tax / nullif(l_discount, 0), 6) AS ratio, round(sqrt(l_quantity * l_discount), 6) AS geo_mean, round(1 / (1 + exp(-(l_quantity - 25) / 10)), 6) AS sigmoid FROM lineitem")
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, {near_sql('least(greatest((l_extendedprice - 20000) / 60000, 0), 1)')} AS ramp, sign(l_discount - 0.05)::INT AS direction, {near_sql('l_tax / nullif(l_discount, 0)')} AS ratio, {near_sql('sqrt(l_quantity * l_discount)')} AS geo_mean, {near_sql('1 / (1 + exp(-(l_quantity - 25) / 10))')} AS sigmoid FROM lineitem")
 def scalar_scores(spark, sf_dir):
     """Ramp, sign, safe ratio, geometric mean and logistic of line items."""
     q, d = F.col("l_quantity"), F.col("l_discount")
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", r6(F.least(F.greatest((F.col("l_extendedprice") - 20000) / 60000, F.lit(0.0)), F.lit(1.0))).alias("ramp"), F.signum(d - 0.05).cast("int").alias("direction"),
-        r6(F.try_divide("l_tax", d)).alias("ratio"), r6(F.sqrt(q * d)).alias("geo_mean"), r6(1 / (1 + F.exp(-(q - 25) / 10))).alias("sigmoid"),
+        "l_orderkey", "l_linenumber", "l_partkey", near(F.least(F.greatest((F.col("l_extendedprice") - 20000) / 60000, F.lit(0.0)), F.lit(1.0))).alias("ramp"), F.signum(d - 0.05).cast("int").alias("direction"),
+        near(F.try_divide("l_tax", d)).alias("ratio"), near(F.sqrt(q * d)).alias("geo_mean"), near(1 / (1 + F.exp(-(q - 25) / 10))).alias("sigmoid"),
     )
 
 
@@ -72,21 +72,21 @@ def volume_bins(spark, sf_dir):
     return b.select("symbol", "ts", r6("p").alias("rank_pct"), F.least(F.greatest(F.rint(F.col("p") * 5), F.lit(0.0)), F.lit(4.0)).cast("int").alias("volume_bin"))
 
 
-@query(f"WITH {BARS}, x AS (SELECT symbol, ts, close, list(close) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM bars) SELECT symbol, ts, CASE WHEN len(past) >= 20 THEN round(len(list_filter(past, lambda y: y < close)) / len(past)::DOUBLE, 6) END AS own_rank FROM x")
+@query(f"WITH {BARS}, x AS (SELECT symbol, ts, close, list(close) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM bars) SELECT symbol, ts, CASE WHEN len(past) >= 20 THEN {near_sql('len(list_filter(past, lambda y: y < close)) / len(past)::DOUBLE')} END AS own_rank FROM x")
 def causal_rank(spark, sf_dir):
     """Share of a symbol's own earlier closes below the current one: counted against a sorted list, one pass per symbol."""
     import bisect
 
     def run(key, pdf):
-        seen, out = [], []
-        for v in pdf.sort_values("ts")["close"]:
-            out.append(round(bisect.bisect_left(seen, v) / len(seen), 6) if len(seen) >= 20 else None)
+        seen, below = [], []
+        pdf = pdf.sort_values("ts")
+        for v in pdf["close"]:
+            below.append(bisect.bisect_left(seen, v))
             bisect.insort(seen, v)
-        pdf = pdf.sort_values("ts")[["symbol", "ts"]]
-        pdf["own_rank"] = out
-        return pdf
+        return pdf[["symbol", "ts"]].assign(below=below, n=range(len(below)))
 
-    return bars(spark, sf_dir).select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, "symbol long, ts date, own_rank double")
+    counts = bars(spark, sf_dir).select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, "symbol long, ts date, below long, n long")
+    return counts.select("symbol", "ts", F.when(F.col("n") >= 20, near(F.col("below") / F.col("n"))).alias("own_rank"))
 
 
 @query(f"WITH {BARS}, r AS (SELECT *, ln(close / nullif(lag(close) OVER ({S}), 0)) AS ret FROM bars), x AS (SELECT symbol, ts, ret, row_number() OVER ({S}) AS n FROM r WHERE ret IS NOT NULL) SELECT a.symbol, round(corr(a.ret, b.ret), 6) AS autocorrelation, count(*) AS pairs FROM x a JOIN x b ON a.symbol = b.symbol AND b.n = a.n + 1 GROUP BY a.symbol")
