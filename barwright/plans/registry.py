@@ -18,5 +18,5 @@ def query(sql: str | None = None):
     return add
 
 
-for _name in ("bars", "joins", "book", "stats", "tape", "streams", "mechanism", "scalar", "engine", "parsing"):
+for _name in ("bars", "joins", "book", "stats", "tape", "streams", "mechanism", "scalar", "engine", "parsing", "snapshot"):
     import_module(f"barwright.plans.{_name}_queries")
