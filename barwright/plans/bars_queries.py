@@ -200,9 +200,11 @@ def calendar_outcomes(spark, sf_dir):
     Each symbol's range is densified by the market's days it spans, not by its own bars.
     """
     b = bars(spark, sf_dir)
-    days = b.select("ts").distinct().agg(F.sort_array(F.collect_set("ts")).alias("days"))  # one row; as long as the calendar
+    # A symbol and a market day meet by month, which a symbol's span lists.
+    days = b.select("ts").distinct().withColumn("month", F.trunc("ts", "month"))
     spans = b.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    grid = spans.join(F.broadcast(days)).select("symbol", F.explode(F.filter("days", lambda d: (d >= F.col("a")) & (d <= F.col("b")))).alias("ts"))
+    months = spans.withColumn("month", F.explode(F.expr("sequence(trunc(a, 'month'), trunc(b, 'month'), INTERVAL 1 MONTH)")))
+    grid = months.join(days, "month").where("ts BETWEEN a AND b").select("symbol", "ts")
     x = grid.join(b.select("symbol", "ts", "open", "close"), ["symbol", "ts"], "left")
     o = x.select("symbol", "ts", "close", F.lead("open", 1).over(by_symbol()).alias("entry"), F.lead("close", 3).over(by_symbol()).alias("exit"))
     return o.where("close IS NOT NULL").select("symbol", "ts", F.col("entry").isNotNull().alias("tradeable"), r6(F.try_divide("exit", "entry") - 1).alias("ret_next_open_3"))

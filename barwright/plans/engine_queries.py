@@ -67,11 +67,11 @@ def book_updates(spark, sf_dir):
     return rows.where("size(a) + size(b) > 0").select("book", "side", of("ADD").alias("added"), of("REMOVE").alias("removed"), (L.total(F.col("b")) - L.total(F.col("a"))).alias("net"))
 
 
-@query(f"WITH {SEC}, g AS (SELECT *, sec - lag(sec) OVER ({E}) AS gap, value - lag(value) OVER ({E}) AS dv, event_id < lag(event_id) OVER ({E}) AS back FROM x), m AS (SELECT *, quantile_cont(gap, 0.5) OVER ({E} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cadence, count(gap) OVER ({E} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM g) SELECT symbol, event_id, gap, CASE WHEN n >= 5 THEN round(cadence, 6) END AS cadence, coalesce(n >= 5 AND gap > 3 * cadence, false) AS stale, coalesce(dv = 0, false) AS unchanged, coalesce(back, false) AS out_of_order FROM m")
+@query(f"WITH {SEC}, g AS (SELECT *, sec - lag(sec) OVER ({E}) AS gap, value - lag(value) OVER ({E}) AS dv, event_id < lag(event_id) OVER ({E}) AS back FROM x), m AS (SELECT *, quantile_cont(gap, 0.5) OVER ({E} ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING) AS cadence, count(gap) OVER ({E} ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING) AS n FROM g) SELECT symbol, event_id, gap, CASE WHEN n >= 5 THEN round(cadence, 6) END AS cadence, coalesce(n >= 5 AND gap > 3 * cadence, false) AS stale, coalesce(dv = 0, false) AS unchanged, coalesce(back, false) AS out_of_order FROM m")
 def feed_flags(spark, sf_dir):
-    """Staleness against three times the cadence seen so far, unchanged values and order breaks."""
+    """Staleness against three times the cadence of the last 64 gaps, unchanged values and order breaks."""
     w = prints_window()
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    past = w.rowsBetween(-64, -1)
     g = seconds_tape(spark, sf_dir).select("symbol", "event_id", "sec", (F.col("sec") - F.lag("sec").over(w)).alias("gap"), (F.col("value") - F.lag("value").over(w)).alias("dv"), (F.col("event_id") < F.lag("event_id").over(w)).alias("back"))
     m = g.withColumn("cadence", F.percentile("gap", 0.5).over(past)).withColumn("n", F.count("gap").over(past))
     no = lambda c: F.coalesce(c, F.lit(False))

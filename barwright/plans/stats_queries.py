@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import by_symbol, near, near_sql, r6
+from ..functions.windows import by_symbol, near, near_sql, r6, sums_before
 from ..sources.tables import BARS, bars, table
 from .registry import query
 
@@ -103,8 +103,8 @@ def auc(spark, sf_dir):
     """Mann-Whitney AUC with half credit for ties, from counts per distinct score."""
     x = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("score")).join(table(spark, sf_dir, "labels"), "doc_id")
     per = x.groupBy("score").agg(F.count_if(F.col("quality") == 1).alias("p"), F.count_if(F.col("quality") == 0).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(F.lit(1)).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = per.select("p", "q", (F.col("p") * (below + F.col("q") / 2)).alias("won")).agg(F.sum("p").alias("n1"), F.sum("q").alias("n0"), F.sum("won").alias("won"))
+    won = F.col("p") * (F.col("below") + F.col("q") / 2)
+    s = sums_before(per, "score", {"below": "q"}).select("p", "q", won.alias("won")).agg(F.sum("p").alias("n1"), F.sum("q").alias("n0"), F.sum("won").alias("won"))
     return s.select("n1", "n0", r6(F.try_divide("won", F.col("n1") * F.col("n0"))).alias("auc"))
 
 
@@ -112,15 +112,23 @@ def auc(spark, sf_dir):
 def spearman(spark, sf_dir):
     """Rank correlation of volume and outcome per year."""
     e = evaluated(spark, sf_dir).withColumn("o", F.round("out", 9))
-    rank = lambda c: F.rank().over(Window.partitionBy("yr").orderBy(c)) + (F.count("*").over(Window.partitionBy("yr", c)) - 1) / 2
-    return e.select("yr", rank("volume").alias("a"), rank("o").alias("b")).groupBy("yr").agg(F.count("*").alias("n"), r6(F.corr("a", "b")).alias("rho"))
+
+    def ranked(column: str, name: str) -> DataFrame:
+        """Mean rank of each distinct value, from the counts of smaller ones."""
+        counts = e.groupBy("yr", column).agg(F.count("*").alias("n"))
+        return sums_before(counts, column, {"below": "n"}, ["yr"]).select("yr", column, (F.col("below") + (F.col("n") + 1) / 2).alias(name))
+
+    return e.select("yr", "volume", "o").join(ranked("volume", "a"), ["yr", "volume"]).join(ranked("o", "b"), ["yr", "o"]).groupBy("yr").agg(F.count("*").alias("n"), r6(F.corr("a", "b")).alias("rho"))
 
 
 @query(f"WITH {SIG}, r AS (SELECT out, hit, yr, greatest(ceil((row_number() OVER (PARTITION BY yr ORDER BY volume, symbol, ts) - 1) * 10.0 / nullif(count(*) OVER (PARTITION BY yr) - 1, 0)) - 1, 0)::INT AS decile FROM e) SELECT decile, count(*) AS n, round(avg(hit::INT), 6) AS hit_rate, round(avg(out), 6) AS mean FROM r GROUP BY decile")
 def decile_response(spark, sf_dir):
     """Response by tenth of volume within the year (ranked, ties by symbol and day)."""
     e = evaluated(spark, sf_dir)
-    rn, n = F.row_number().over(Window.partitionBy("yr").orderBy("volume", "symbol", "ts")), F.count("*").over(Window.partitionBy("yr"))
+    counts = e.groupBy("yr", "volume").agg(F.count("*").alias("here"))
+    placed = sums_before(counts, "volume", {"below": "here"}, ["yr"]).join(counts.groupBy("yr").agg(F.sum("here").alias("n")), "yr")
+    e = e.join(placed.drop("here"), ["yr", "volume"])
+    rn, n = F.col("below") + F.row_number().over(Window.partitionBy("yr", "volume").orderBy("symbol", "ts")), F.col("n")
     d = e.withColumn("decile", F.greatest(F.ceil(F.try_divide((rn - 1) * F.lit(10.0), n - 1)) - 1, F.lit(0)).cast("int"))
     return d.groupBy("decile").agg(F.count("*").alias("n"), r6(F.avg(F.col("hit").cast("int"))).alias("hit_rate"), r6(F.avg("out")).alias("mean"))
 
@@ -211,8 +219,9 @@ SELECT x AS cut, n1::BIGINT AS below, round(bits, 4) AS bits FROM b WHERE bits I
 def best_numeric_split(spark, sf_dir):
     """The cut of volume that codes the outcome in the fewest bits, from prefix counts over distinct values."""
     v = evaluated(spark, sf_dir).groupBy(F.col("volume").alias("x")).agg(F.count("*").alias("n0"), F.count_if("hit").alias("h0"))
-    one = Window.partitionBy(F.lit(1))
-    c = v.select("x", F.sum("n0").over(one.orderBy("x")).alias("n1"), F.sum("h0").over(one.orderBy("x")).alias("h1"), F.sum("n0").over(one).alias("n"), F.sum("h0").over(one).alias("h"))
+    total = v.agg(F.sum("n0").alias("n"), F.sum("h0").alias("h"))  # one row
+    c = sums_before(v, "x", {"n_": "n0", "h_": "h0"}).join(F.broadcast(total))
+    c = c.select("x", (F.col("n_") + F.col("n0")).alias("n1"), (F.col("h_") + F.col("h0")).alias("h1"), "n", "h")
 
     def code(n, h):
         part = lambda k: k * F.log2(k / n)

@@ -19,6 +19,7 @@ def sides(spark):
     return left, right
 
 
+@pytest.mark.parametrize("bucket", [1, 7, 10**9])
 @pytest.mark.parametrize(
     ("direction", "strict", "want"),
     [
@@ -28,11 +29,17 @@ def sides(spark):
         ("forward", True, {1: 20.0, 2: 30.0, 3: 30.0, 4: None, 5: None}),
     ],
 )
-def test_asof(sides, direction, strict, want):
-    got = {r.id: r.r_v for r in asof(*sides, ["key"], "t", ["v"], direction, strict).collect()}
+def test_asof(sides, direction, strict, want, bucket):
+    got = {r.id: r.r_v for r in asof(*sides, ["key"], "t", ["v"], direction, strict, bucket=bucket).collect()}
     assert got == want
 
 
+def test_asof_leaves_null_times_without_a_match(spark, sides):
+    left = spark.createDataFrame([("a", None, 1), ("a", T(11), 2)], "key string, t timestamp_ntz, id int")
+    for direction, want in (("backward", 20.0), ("forward", 30.0)):
+        assert {r.id: r.r_v for r in asof(left, sides[1], ["key"], "t", ["v"], direction, bucket=1).collect()} == {1: None, 2: want}
+
+
 def test_asof_with_an_empty_side(sides):
     left, right = sides
     assert {r.r_v for r in asof(left, right.limit(0), ["key"], "t", ["v"]).collect()} == {None}
