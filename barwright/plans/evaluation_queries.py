@@ -25,7 +25,7 @@ def uniform_sql(parts: str) -> str:
 
 # ---- panels and bar flags
 
-PANEL = "CASE WHEN ts BETWEEN DATE '1992-01-01' AND DATE '1995-12-31' THEN 'PRIMARY' WHEN ts BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' THEN 'POSTBREAK' END"
+PANEL = "CASE WHEN ts BETWEEN DATE '1995-01-01' AND DATE '1998-06-30' THEN 'PRIMARY' WHEN ts BETWEEN DATE '1998-07-01' AND DATE '2000-12-31' THEN 'POSTBREAK' END"
 
 
 @query(f"WITH {BARS}, p AS (SELECT *, {PANEL} AS panel FROM bars), d AS (SELECT panel, ts, count(DISTINCT symbol) AS n FROM p WHERE panel IS NOT NULL GROUP BY ALL) SELECT p.panel, count(*) AS n_rows, count(DISTINCT symbol) AS symbols, min(ts) AS first_day, max(ts) AS last_day, (SELECT quantile_cont(n, 0.5) FROM d WHERE d.panel = p.panel) AS median_symbols FROM p WHERE panel IS NOT NULL GROUP BY p.panel")
@@ -37,10 +37,10 @@ def panel_coverage(spark, sf_dir):
     return rows.join(days, "panel")
 
 
-@query(f"WITH {BARS} SELECT year(ts)::INT AS yr, count(*) AS kept FROM bars WHERE ts < DATE '1998-01-01' AND NOT ts BETWEEN DATE '1994-03-01' AND DATE '1994-08-31' GROUP BY 1")
+@query(f"WITH {BARS} SELECT year(ts)::INT AS yr, count(*) AS kept FROM bars WHERE ts < DATE '2001-01-01' AND NOT ts BETWEEN DATE '1996-03-01' AND DATE '1996-08-31' GROUP BY 1")
 def reservations(spark, sf_dir):
     """Rows outside the sealed window and before the reserved end; a row of either that stays fails the query."""
-    sealed, end = F.col("ts").between("1994-03-01", "1994-08-31"), F.lit("1998-01-01").cast("date")
+    sealed, end = F.col("ts").between("1996-03-01", "1996-08-31"), F.lit("2001-01-01").cast("date")
     kept = bars(spark, sf_dir).where(~sealed & (F.col("ts") < end))
     checked = kept.where(F.when(sealed | (F.col("ts") >= end), F.raise_error(F.lit("a reserved row was kept"))).otherwise(F.lit(True)))
     return checked.groupBy(F.year("ts").alias("yr")).agg(F.count("*").alias("kept"))
@@ -265,7 +265,7 @@ def boot_ratio_lower(spark, sf_dir):
 
 # ---- leakage
 
-CUT = "DATE '1996-01-01'"
+CUT = "DATE '1998-01-01'"
 FEATS = {"past": f"avg(close) OVER ({S} ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)", "ahead": f"lead(close) {W}"}
 LEAK = f"{BARS}, a AS (SELECT symbol, ts, close FROM bars), z AS (SELECT symbol, ts, CASE WHEN ts > {CUT} THEN close * (0.5 + {uniform_sql('symbol, ts')}) ELSE close END AS close FROM bars), x AS (SELECT symbol, ts, {', '.join(f'{e} AS {n}' for n, e in FEATS.items())} FROM a), y AS (SELECT symbol, ts, {', '.join(f'{e} AS {n}' for n, e in FEATS.items())} FROM z)"
 
