@@ -44,6 +44,26 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert max(fill.values()) <= 1024 and set(ids["packing"]) == set(ids["mixing"])
 
 
+def test_stages_on_edge_rows(spark, tmp_path):
+    rng = random.Random(9)
+    text = " ".join(f"{rng.choice('bdgklm')}a{rng.choice('nrst')}{i}" for i in range(90))
+    rows = [(1, text, "en", "s", 9), (1, text, "en", "s", 9), (None, text + " more", None, None, None), (3, None, None, None, 0), (4, "", "en", "", 0), (5, None, "xx", "s", None), (6, "word " * 20000, "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS `row`", "2 AS `a.b`", "3 AS mix_id_", "4 AS key_", "5 AS piece")
+    spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = {"quality": [1, 1, None], "near_duplicates": [1, 3, 6], "secrets": [1, 1, 3, 4, 5, 6, None]}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path)).collect()
+        if name in want:
+            assert sorted((r.doc_id for r in got), key=str) == sorted(want[name], key=str), name
+        if name != "packing":
+            assert list(got[0].asDict()) == docs.columns
+        else:
+            assert {r.doc_id for r in got} == {1, None, 3, 4, 5, 6} and max(r.offset + r.length for r in got) <= 1024
+        if name == "mixing":
+            assert {r.doc_id for r in got} >= {1, 6} and max(Counter((r.doc_id, r.text, r.source) for r in got).values()) <= 6
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == [], name
+
+
 def test_run_leaves_no_near_copies(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality(spark, docs, sf_dir), sf_dir).collect()
