@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,8 +173,13 @@ def _meetings(texts: DataFrame) -> DataFrame:
 
 
 def _pairs_and_crowds(texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v, null) of texts that may be similar by their sizes and share ``wanted`` prefix shingles; of shingles that
-    more than ``PAIRED`` texts share the rows (own, null, token)."""
+    """Pairs (u, v, null) of texts that may be similar by their sizes and their shared prefix shingles; and rows
+    (own, null, token) of shingles that more than ``PAIRED`` texts share, the crowded ones.
+
+    A pair shares no more crowded shingles than either text has, so pairs need that many fewer others. Only a text with so
+    many crowded ones that all it has to share may be among them is compared at these, and only at its first few: in any
+    order two such texts share one of them.
+    """
 
     names = ["u", "v", "token", "wanted"]
 
@@ -184,15 +189,16 @@ def _pairs_and_crowds(texts: DataFrame, similarity: float) -> DataFrame:
         size = np.repeat(sizes, sizes)
         crowd = size > PAIRED
         if crowd.any():
-            yield crowded(token[crowd], own[crowd])
+            yield crowded(token[crowd], own[crowd], n[crowd])
         for lag in range(1, min(PAIRED, int(size.max()))):
             i = np.flatnonzero((token[lag:] == token[:-lag]) & ~crowd[lag:] & (n[:-lag] >= similarity * n[lag:] - 1e-9))
             if len(i):  # n[i] is the smaller of the two
                 ends = [pa.array(f(own[i], own[i + lag])) for f in (np.minimum, np.maximum)]
                 yield pa.RecordBatch.from_arrays([*ends, pa.nulls(len(i), pa.int64()), pa.array(wanted(n[i]).astype(np.int32))], names)
 
-    def crowded(token: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int64()), pa.array(token), pa.nulls(len(own), pa.int32())], names)
+    def crowded(token: np.ndarray, own: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        least = wanted(similarity * n).astype(np.int32)  # what a similar text of the smallest possible size shares
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int64()), pa.array(token), pa.array(least)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Of the last, still open run no more than PAIRED rows are held; rows of a run known to be crowded pass at once.
@@ -202,7 +208,7 @@ def _pairs_and_crowds(texts: DataFrame, similarity: float) -> DataFrame:
             if crowd is not None and len(now[0]):
                 more = int(np.searchsorted(now[0], crowd, "right"))
                 if more:
-                    yield crowded(now[0][:more], now[1][:more])
+                    yield crowded(*(x[:more] for x in now))
                 now = [x[more:] for x in now]
             now = [np.concatenate(x) for x in zip(held, now)]
             if not len(now[0]):
@@ -211,7 +217,7 @@ def _pairs_and_crowds(texts: DataFrame, similarity: float) -> DataFrame:
             crowd, cut = None, int(np.searchsorted(now[0], now[0][-1]))
             if len(now[0]) - cut > PAIRED:
                 crowd = now[0][-1]
-                yield crowded(now[0][cut:], now[1][cut:])
+                yield crowded(*(x[cut:] for x in now))
                 held = [x[:0] for x in now]
             else:
                 held = [x[cut:] for x in now]
@@ -223,8 +229,16 @@ def _pairs_and_crowds(texts: DataFrame, similarity: float) -> DataFrame:
     rows = _meetings(texts).repartition("token").sortWithinPartitions("token", "n", "own")
     met = rows.mapInArrow(run, "u long, v long, token long, wanted int")
     counted = met.groupBy("u", "v", "token").agg(F.count("*").alias("shared"), F.any_value("wanted").alias("wanted"))
-    # Texts that share a crowded shingle are compared there, whatever else they share.
-    return materialise(counted.where("token IS NOT NULL OR shared >= wanted").select("u", "v", "token"), "meetings")
+    counted = materialise(counted, "meetings")
+    at_crowds = counted.where("token IS NOT NULL")
+    counts = materialise(at_crowds.groupBy(F.col("u").alias("x")).agg(F.count("*").alias("c"), F.min("wanted").alias("least")), "crowd-counts")
+    own = {side: counts.select(F.col("x").alias(side), F.col("c").alias(f"c{side}")) for side in "uv"}
+    pairs = counted.where("token IS NULL").join(own["u"], "u", "left").join(own["v"], "v", "left")
+    pairs = pairs.where(F.col("shared") >= F.col("wanted") - F.least(F.coalesce("cu", F.lit(0)), F.coalesce("cv", F.lit(0))))
+    heavy = at_crowds.join(counts.where("c >= least"), F.col("u") == F.col("x"))
+    nth = F.row_number().over(Window.partitionBy("u").orderBy("token"))  # no more rows than a prefix has
+    heavy = heavy.withColumn("nth", nth).where("nth <= c - least + 1")
+    return materialise(pairs.select("u", "v", "token").unionByName(heavy.select("u", "v", "token")), "candidates")
 
 
 def _sets(docs: DataFrame, keys: DataFrame, words: int, seed: int) -> DataFrame:
