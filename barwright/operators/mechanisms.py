@@ -30,9 +30,9 @@ def div(a: str, b: str) -> str:
 
 MOVE_S, MOVE_L = f"({div('ps', 'pl')} - 1)", f"({div('value', 'pl')} - 1)"
 FLAT = f"(1 - {ramp(f'abs({MOVE_S})', 0.1, 0.6)})"
-BUSY, QUIET = ramp(div("ns * 10.0", "nl"), 1.0, 3.0), f"(1 - {ramp(div('ns * 10.0', 'nl'), 1.0, 3.0)})"
+BUSY, QUIET = ramp(div("CAST(ns AS DOUBLE) * 10", "nl"), 1.0, 3.0), f"(1 - {ramp(div('CAST(ns AS DOUBLE) * 10', 'nl'), 1.0, 3.0)})"
 BUY, SELL = ramp("fm", 0.1, 0.7), ramp("-fm", 0.1, 0.7)
-LARGE = ramp(div("k * 1.0", "kl"), 1.0, 2.0)
+LARGE = ramp(div("CAST(k AS DOUBLE)", "kl"), 1.0, 2.0)
 
 #: Score of each mechanism over the features below.
 MECHANISMS = {
@@ -41,7 +41,7 @@ MECHANISMS = {
     "exhaustion": f"{BUSY} * {FLAT} * {ramp(div('sdl', 'pl'), 0.3, 1.0)}",
     "passive_accumulation": f"{ramp('-fs', 0.0, 0.6)} * {FLAT} * {ramp('fl', 0.0, 0.4)}",
     "passive_distribution": f"{ramp('fs', 0.0, 0.6)} * {FLAT} * {ramp('-fl', 0.0, 0.4)}",
-    "participation_footprint": f"(1 - {ramp(div('skl', 'kl'), 0.3, 0.8)}) * {ramp('nl * 1.0', 8.0, 20.0)}",
+    "participation_footprint": f"(1 - {ramp(div('skl', 'kl'), 0.3, 0.8)}) * {ramp('CAST(nl AS DOUBLE)', 8.0, 20.0)}",
     "metaorder_trajectory": f"{ramp('abs(fl)', 0.1, 0.5)} * {ramp('abs(fm)', 0.1, 0.7)} * CASE WHEN sign(fl) = sign(fm) THEN 1.0 ELSE 0.0 END",
     "block_absorption": f"{LARGE} * (1 - {ramp(f'abs({MOVE_L})', 0.1, 0.6)})",
     "inventory_rebalancing": f"CASE WHEN sign(fs) <> sign(fl) THEN 1.0 ELSE 0.0 END * {ramp('abs(fs)', 0.2, 0.8)} * {FLAT}",
@@ -53,12 +53,12 @@ MECHANISMS = {
     "false_breakout": f"CASE WHEN mx > value * 2 AND ps < pl THEN 1.0 ELSE 0.0 END * {ramp('-fs', 0.0, 0.5)}",
     "stealth_accumulation": f"{BUY} * {QUIET} * {FLAT}",
     "stealth_distribution": f"{SELL} * {QUIET} * {FLAT}",
-    "absorption": f"{ramp(div('vs * 1.0', 'kl'), 1.0, 4.0)} * {FLAT}",
-    "order_splitting": f"(1 - {ramp(div('sks', 'ks'), 0.1, 0.5)}) * {ramp('ns * 1.0', 2.0, 4.0)}",
+    "absorption": f"{ramp(div('CAST(vs AS DOUBLE)', 'kl'), 1.0, 4.0)} * {FLAT}",
+    "order_splitting": f"(1 - {ramp(div('sks', 'ks'), 0.1, 0.5)}) * {ramp('CAST(ns AS DOUBLE)', 2.0, 4.0)}",
     "accumulation_like": f"greatest({BUY} * {QUIET} * {FLAT}, {ramp('fl', 0.1, 0.5)} * {FLAT})",
     "distribution_like": f"greatest({SELL} * {QUIET} * {FLAT}, {ramp('-fl', 0.1, 0.5)} * {FLAT})",
     "ofi_state": f"{ramp('abs(fs)', 0.3, 1.0)}",
-    "trade_churn_repetition": f"(1 - {ramp(div('sdl', 'pl'), 0.2, 1.0)}) * {ramp('nl * 1.0', 8.0, 20.0)}",
+    "trade_churn_repetition": f"(1 - {ramp(div('sdl', 'pl'), 0.2, 1.0)}) * {ramp('CAST(nl AS DOUBLE)', 8.0, 20.0)}",
 }
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import levels as L
-from ..functions.windows import by_symbol, r6, trailing
+from ..functions.windows import by_symbol, near, near_sql, r6, trailing
 from ..operators.asof import asof
 from ..sources.tables import BARS, BOOKS, TAPE, bars, books, table, tape
 from .bars_queries import STATES, states
@@ -96,13 +96,13 @@ def trade_intensity(spark, sf_dir):
     return seconds_tape(spark, sf_dir).select("symbol", "event_id", (F.count("*").over(w(86400)) / 24.0).alias("per_hour"), F.sum(flow).over(w(86400)).alias("signed_flow"), r6(F.sum(F.abs(flow)).over(w(864000)) / 10.0).alias("flow_baseline"))
 
 
-@query(f"WITH {SEC}, f AS (SELECT symbol, event_id, value - lag(value, 3) OVER ({E}) AS dp, sum(side * k) OVER ({E} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS flow, sum(k) OVER ({E} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS total FROM x) SELECT symbol, event_id, CASE WHEN abs(flow) >= 0.2 * total THEN round(dp / nullif(flow, 0), 6) END AS impact, coalesce(abs(flow) >= 0.8 * total AND abs(dp) < 5, false) AS failed_response FROM f WHERE dp IS NOT NULL")
+@query(f"WITH {SEC}, f AS (SELECT symbol, event_id, value - lag(value, 3) OVER ({E}) AS dp, sum(side * k) OVER ({E} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS flow, sum(k) OVER ({E} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS total FROM x) SELECT symbol, event_id, CASE WHEN abs(flow) >= 0.2 * total THEN {near_sql('dp / nullif(flow, 0)')} END AS impact, coalesce(abs(flow) >= 0.8 * total AND abs(dp) < 5, false) AS failed_response FROM f WHERE dp IS NOT NULL")
 def price_impact(spark, sf_dir):
     """Price move per signed flow over three prints with a floor of 20 % one-sidedness; large flow without a move."""
     w = prints_window()
     last = w.rowsBetween(-2, 0)
     f = seconds_tape(spark, sf_dir).select("symbol", "event_id", (F.col("value") - F.lag("value", 3).over(w)).alias("dp"), F.sum(F.col("side") * F.col("k")).over(last).alias("flow"), F.sum("k").over(last).alias("total")).where("dp IS NOT NULL")
-    return f.select("symbol", "event_id", F.when(F.abs("flow") >= 0.2 * F.col("total"), r6(F.try_divide("dp", "flow"))).alias("impact"), ((F.abs("flow") >= 0.8 * F.col("total")) & (F.abs("dp") < 5)).alias("failed_response"))
+    return f.select("symbol", "event_id", F.when(F.abs("flow") >= 0.2 * F.col("total"), near(F.try_divide("dp", "flow"))).alias("impact"), ((F.abs("flow") >= 0.8 * F.col("total")) & (F.abs("dp") < 5)).alias("failed_response"))
 
 
 @query(f"WITH {TAPE}, h AS (SELECT symbol, CAST(t AS DATE) AS day, source, max(t) AS last, count(*) AS n FROM tape GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY last DESC, source) AS k, max(last) OVER (PARTITION BY symbol, day) AS newest FROM h) SELECT symbol, day, source AS primary_source, n FROM r WHERE k = 1")

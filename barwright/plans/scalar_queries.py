@@ -31,13 +31,13 @@ def normalise_codes(spark, sf_dir):
 LADDER = "CAST(CASE WHEN price < 200 THEN 0.10 WHEN price < 500 THEN 0.0875 WHEN price < 1000 THEN 0.075 WHEN price < 2000 THEN 0.0625 WHEN price < 5000 THEN 0.05 ELSE 0.0375 END AS DOUBLE)"
 
 
-@query(f"WITH {BARS}, p AS (SELECT symbol, ts, close, high, lag(close) OVER ({S}) AS price FROM bars), b AS (SELECT *, {LADDER} AS band FROM p WHERE price IS NOT NULL) SELECT symbol, ts, band, round(price * (1 + band), 6) AS upper_limit, round((price * (1 + band) - close) / nullif(price, 0), 6) AS room, high >= price * (1 + band) AS touched FROM b")
+@query(f"WITH {BARS}, p AS (SELECT symbol, ts, close, high, lag(close) OVER ({S}) AS price FROM bars), b AS (SELECT *, {LADDER} AS band FROM p WHERE price IS NOT NULL) SELECT symbol, ts, band, {near_sql('price * (1 + band)')} AS upper_limit, {near_sql('(price * (1 + band) - close) / nullif(price, 0)')} AS room, high >= price * (1 + band) AS touched FROM b")
 def band_room(spark, sf_dir):
     """Price band of the previous close, the limit it gives, and the room left to it."""
     p = bars(spark, sf_dir).select("symbol", "ts", "close", "high", F.lag("close").over(by_symbol()).alias("price")).where("price IS NOT NULL")
     b = p.withColumn("band", F.expr(LADDER))
     limit = F.col("price") * (1 + F.col("band"))
-    return b.select("symbol", "ts", "band", r6(limit).alias("upper_limit"), r6(F.try_divide(limit - F.col("close"), F.col("price"))).alias("room"), (F.col("high") >= limit).alias("touched"))
+    return b.select("symbol", "ts", "band", near(limit).alias("upper_limit"), near(F.try_divide(limit - F.col("close"), F.col("price"))).alias("room"), (F.col("high") >= limit).alias("touched"))
 
 
 @query(f"WITH {BARS}, p AS (SELECT symbol, ts, close, lag(close) OVER ({S}) AS price FROM bars), b AS (SELECT *, {LADDER} AS band FROM p WHERE price IS NOT NULL) SELECT band, count(*) AS n, round(avg((close >= price * (1 + band))::INT), 6) AS share_at_limit, round(avg((abs(close / price - 1) <= band)::INT), 6) AS share_inside FROM b GROUP BY band")

@@ -79,8 +79,8 @@ SESSION_FEATURES = {
     "room0": f"lag(room) {W}", "vol10": f"CAST(sum(volume) {TEN} AS DOUBLE) / count(*) {TEN}", "locked0": f"lag(locked) {W}", "gap0": f"lag(gap) {W}",
 }
 SESSION_MECHANISMS = {
-    "circuit_regime": f"{ramp('hits10 * 1.0', 0.0, 5.0)}",
-    "circuit_streak": f"{ramp('streak * 1.0', 0.0, 4.0)}",
+    "circuit_regime": f"{ramp('CAST(hits10 AS DOUBLE)', 0.0, 5.0)}",
+    "circuit_streak": f"{ramp('CAST(streak AS DOUBLE)', 0.0, 4.0)}",
     "circuit_prehit_pressure": f"(1 - {ramp('room', 0.0, 0.05)}) * {ramp('room0 - room', 0.0, 0.05)}",
     "circuit_lock_strength": f"CASE WHEN locked = 1 THEN 1.0 ELSE 0.0 END * {ramp('place', 0.5, 1.0)} * (1 - {ramp(div('volume', 'vol10'), 1.0, 3.0)} / 2)",
     "circuit_break_weakness": f"CASE WHEN broke THEN 1.0 ELSE 0.0 END * (1 - {ramp('place', 0.2, 0.8)})",

@@ -138,7 +138,7 @@ QUEUE = {
     "low": f"min(bd + ad) {SIX}", "high": f"max(bd + ad) {SIX}", "spread": f"(a1 - b1) / {STEP}", "together": f"sum(CASE WHEN b1 > p0 AND a1 > o0 OR b1 < p0 AND a1 < o0 THEN 1 ELSE 0 END) {SIX}",
     "wall6": f"sum(CASE WHEN bw >= 0.5 * bd AND bd > 0 THEN 1 ELSE 0 END) {SIX}",
 }
-SHARE = lambda a, b: f"({a}) * 1.0 / nullif({b}, 0)"
+SHARE = lambda a, b: f"CAST({a} AS DOUBLE) / nullif({b}, 0)"
 QUEUE_MECHANISMS = {
     "queue_pull_stack": f"{ramp(SHARE('pulled6', 'pulled6 + traded6'), 0.2, 0.8)} * {ramp(SHARE('stacks', 'n'), 0.0, 0.4)}",
     "quote_refresh_churn": f"{ramp(SHARE('turns', 'n'), 0.4, 0.9)} * (1 - {ramp('drift', 1.0, 4.0)})",

@@ -35,11 +35,11 @@ def test_embedded_objects_by_braces(spark):
 def test_placeholders_clocks_and_reports(spark):
     one = spark.sql("SELECT array('-', 'N/A', null) AS a, array('-', '3') AS b, CAST(null AS array<string>) AS n, '2024-01-02T10:00:00.1234567' AS t, 'Total Trades : 1,234\n  Up..: 7' AS r")
     x = one.select(
-        pages.hollow(F.col("a")).alias("a"), pages.hollow(F.col("b")).alias("b"), pages.hollow(F.col("n")).alias("n"), pages.zone_candidates(F.col("t"), "Asia/Dhaka").alias("z"),
+        pages.hollow(F.col("a")).alias("a"), pages.hollow(F.col("b")).alias("b"), pages.hollow(F.col("n")).alias("n"), pages.zone_candidates(F.col("t"), "Asia/Tokyo").alias("z"),
         pages.report_totals(F.col("r"), {"Total Trades": "trades", "Up": "up", "Down": "down"}).alias("r"),
     ).first()
     assert (x.a, x.b, x.n) == (True, False, True) and tuple(x.r) == (1234.0, 7.0, None)
-    assert x.z.as_utc == dt.datetime(2024, 1, 2, 10, 0, 0, 123456) and x.z.as_local == dt.datetime(2024, 1, 2, 4, 0, 0, 123456)
+    assert x.z.as_utc == dt.datetime(2024, 1, 2, 10, 0, 0, 123456) and x.z.as_local == dt.datetime(2024, 1, 2, 1, 0, 0, 123456)
 
 
 def test_states_series_and_claims(spark, tmp_path):

@@ -15,7 +15,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def norm(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
+        return None if math.isnan(v) else v + 0.0  # no rounding: a last digit that differs is a failure
     if isinstance(v, dt.datetime) and v.tzinfo:
         return v.replace(tzinfo=None)
     return v
@@ -42,5 +42,5 @@ def test_query(spark, name):
     assert len(got) == len(want) > 0
     for g, w in zip(got, want):
         for c, x, y in zip(columns, g, w):
-            same = x == y or (isinstance(x, (int, float)) and isinstance(y, (int, float)) and math.isclose(x, y, rel_tol=1e-6, abs_tol=2e-5))
+            same = x == y or (isinstance(x, (int, float)) and isinstance(y, (int, float)) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9))
             assert same, (c, g, w)
