@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = [
-    "q01_warc", "q02_secrets", "q03_simhash", "q04_mixing", "q05_urllists", "q06_idstore", "q07_quality", "q08_langid", "q09_ann", "q10_packing", "q11_resampling", "q12_audit",
+    "q01_warc", "q02_secrets", "q03_simhash", "q04_mixing", "q05_urllists", "q06_idstore", "q07_quality", "q08_langid", "q09_ann", "q10_packing", "q11_resampling", "q12_audit", "q13_lmscore",
 ]
 
 QUERIES: dict = {}
