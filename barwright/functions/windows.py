@@ -71,15 +71,17 @@ def near_sql(x: str) -> str:
     return f"floor(({x}) * 1e6 + 0.5) / 1e6"
 
 
-def sums_before(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, buckets: int = 64) -> DataFrame:
+def sums_before(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, buckets: int = 64, place: Column | None = None) -> DataFrame:
     """Adds for each ``{name: column}`` the sum of the column over all rows with a smaller ``order``, within ``by``.
 
     ``order`` must be unique within ``by``. Rows are dealt into ranges at approximate percentiles (``buckets`` numbers on
-    the driver); running sums stay inside a range, and only a row for each range carries totals on. No range holds all rows.
+    the driver), or by ``place`` if that is given, a number that only grows with ``order``; running sums stay inside a range,
+    and only a row for each range carries totals on. No range holds all rows.
     """
     by = by or []
-    cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    if place is None:
+        cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+        place = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
     rows = df.withColumn("_range", place)
     totals = rows.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     upto = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range

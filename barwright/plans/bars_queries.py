@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import by_symbol, guarded, pct_rank, r6, robust_z, run_length, trailing
+from ..functions.windows import by_symbol, guarded, near, near_sql, pct_rank, r6, robust_z, run_length, trailing
 from ..sources.tables import BARS, bars, table
 from .registry import query
 
@@ -135,7 +135,7 @@ def volume_surprise_rank(spark, sf_dir):
 
 
 FEATURES = f"""r AS (SELECT *, ln(close / nullif(lag(close) OVER ({S}), 0)) AS ret, ln(high / nullif(low, 0)) AS rng FROM bars),
-f AS (SELECT *, row_number() OVER ({S}) AS rn, count(ret) OVER w AS n, stddev_samp(ret) OVER w AS sd, avg(ret) OVER w AS mu, avg(rng) OVER w AS mr, sum(volume) OVER w AS sv, sum(volume * volume) OVER w AS sv2,
+f AS (SELECT *, row_number() OVER ({S}) AS rn, count(ret) OVER w AS n, stddev_samp(ret) OVER w AS sd, avg(ret) OVER w AS mu, avg(rng) OVER w AS mr, CAST(sum(CAST(volume AS BIGINT)) OVER w AS DOUBLE) AS sv, CAST(sum(CAST(volume AS BIGINT) * CAST(volume AS BIGINT)) OVER w AS DOUBLE) AS sv2,
    avg(abs(ret) / nullif(turnover, 0)) OVER w AS illiq, avg((ret > 0)::INT) OVER w AS up FROM r WINDOW w AS ({S} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"""
 
 
@@ -143,22 +143,22 @@ def symbol_features(b: DataFrame) -> DataFrame:
     """Trailing features of 20 bars, null until the symbol has 10 observations in them and 30 bars before."""
     w = trailing(20)
     r = b.withColumn("ret", F.try_divide("close", F.lag("close").over(by_symbol()))).withColumn("ret", F.ln("ret")).withColumn("rng", F.ln(F.try_divide("high", "low")))
-    old = F.row_number().over(by_symbol()) > 30
+    old, whole = F.row_number().over(by_symbol()) > 30, F.col("volume").cast("long")  # volumes are whole numbers: exact sums in any order
     g = lambda v: F.when(old, guarded(v, F.col("ret"), w, 10))
     return r.select(
         "*", g(F.stddev_samp("ret").over(w)).alias("volatility"), g(F.avg("ret").over(w)).alias("momentum"), g(F.avg("rng").over(w)).alias("mean_range"),
-        g(F.try_divide(F.sum(F.col("volume") * F.col("volume")).over(w), F.pow(F.sum("volume").over(w), 2))).alias("volume_hhi"),
+        g(F.try_divide(F.sum(whole * whole).over(w).cast("double"), F.sum(whole).over(w).cast("double") * F.sum(whole).over(w).cast("double"))).alias("volume_hhi"),
         g(F.avg(F.try_divide(F.abs("ret"), F.col("turnover"))).over(w)).alias("illiquidity"), g(F.avg((F.col("ret") > 0).cast("int")).over(w)).alias("up_share"),
     )
 
 
-OK = "CASE WHEN rn > 30 AND n >= 10 THEN round({}, 6) END"
+OK = f"CASE WHEN rn > 30 AND n >= 10 THEN {near_sql('{}')} END"
 
 
-@query(f"WITH {BARS}, {FEATURES} SELECT symbol, ts, round(ret, 6) AS ret, {OK.format('sd')} AS volatility, {OK.format('mu')} AS momentum, {OK.format('mr')} AS mean_range, {OK.format('sv2 / nullif(sv * sv, 0)')} AS volume_hhi, {OK.format('illiq * 1e6')} AS illiquidity, {OK.format('up')} AS up_share FROM f")
+@query(f"WITH {BARS}, {FEATURES} SELECT symbol, ts, {near_sql('ret')} AS ret, {OK.format('sd')} AS volatility, {OK.format('mu')} AS momentum, {OK.format('mr')} AS mean_range, {OK.format('sv2 / nullif(sv * sv, 0)')} AS volume_hhi, {OK.format('illiq * 1e6')} AS illiquidity, {OK.format('up')} AS up_share FROM f")
 def trailing_features(spark, sf_dir):
     f = symbol_features(bars(spark, sf_dir)).withColumn("illiquidity", F.col("illiquidity") * 1e6)
-    return f.select("symbol", "ts", *[r6(c).alias(c) for c in ("ret", "volatility", "momentum", "mean_range", "volume_hhi", "illiquidity", "up_share")])
+    return f.select("symbol", "ts", *[near(c).alias(c) for c in ("ret", "volatility", "momentum", "mean_range", "volume_hhi", "illiquidity", "up_share")])
 
 
 @query(f"WITH {BARS}, r AS (SELECT symbol, ts, ln(close / nullif(lag(close) OVER ({S}), 0)) AS ret FROM bars), m AS (SELECT ts, quantile_cont(ret, 0.5) AS med, avg((ret > 0)::INT) AS breadth, count(ret) AS n FROM r GROUP BY ts) SELECT symbol, ts, round(ret - med, 6) AS xs_excess, round(med, 6) AS market_ret, round(breadth, 6) AS breadth, n FROM r JOIN m USING (ts) WHERE ret IS NOT NULL")
