@@ -62,23 +62,27 @@ def judge(captures: DataFrame, entries: DataFrame, bucket_days: int = BUCKET_DAY
 
     ``captures``: (capture, url, fetched date). The most specific entry active on the day decides: URL, host, then
     parent domains from the longest; without one, and where url or day is null, the verdict is ``allow`` and what
-    matched is null.
+    matched is null. Repeated captures are judged each; either table may be empty, and other columns may have any names.
 
-    Intervals are cut into buckets of ``bucket_days``, so the join is an equi-join on (kind, key, bucket) whose matches
-    per capture and key are the few intervals of one bucket; its rows of a hot host spread over buckets, and both
-    sides are plain shuffles that Spark can split further. Only list keys that a capture can name are cut.
+    Captures and interval starts of a list key meet in buckets of ``bucket_days``. A bucket also takes in the interval that is
+    last to start before it, which is the only older one that can reach into it: a row for each key and bucket with captures, however far
+    apart days lie. So the join is an equi-join on (kind, key, bucket), its rows are the starts of captured keys and one more
+    for each captured bucket, and a hot host spreads over buckets. List keys that no capture names are left out.
     """
     row = captures.select("capture", "url", "fetched").withColumn("row_", F.monotonically_increasing_id())
     row = materialise(row, "captures")
     bucket = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / bucket_days)
     named = row.where("fetched IS NOT NULL").select("row_", "fetched", F.inline(keys_of(F.col("url")))).withColumn("bucket", bucket(F.col("fetched")))
-    last = row.agg(F.max("fetched")).first()[0]
-    spans = intervals(entries).where(F.col("valid_from") <= F.lit(last)) if last else intervals(entries).limit(0)
-    until = F.least(F.coalesce(F.date_sub("valid_to", 1), F.lit(last).cast("date")), F.lit(last).cast("date"))
-    cut = spans.withColumn("bucket", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(until))))
-    cut = materialise(cut, "intervals")
-    active = named.join(cut, ["kind", "key", "bucket"]).where("valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to)")
-    best = active.groupBy("row_").agg(F.min_by(F.struct("verdict", "kind", "key", "valid_from"), "rank").alias("m"))
+    asked = materialise(named.select("kind", "key", "bucket").distinct(), "asked")
+    spans = intervals(entries).withColumn("span", F.struct("valid_from", "valid_to", "verdict")).select("kind", "key", bucket(F.col("valid_from")).alias("bucket"), "span")
+    spans = materialise(spans.join(asked.select("kind", "key").distinct(), ["kind", "key"], "left_semi"), "intervals")
+    # Per key and bucket the last start, carried on to the captured buckets after it.
+    last = spans.groupBy("kind", "key", "bucket").agg(F.max("span").alias("own")).unionByName(asked, allowMissingColumns=True)
+    last = last.groupBy("kind", "key", "bucket").agg(F.max("own").alias("own"), F.max(F.col("own").isNull()).alias("asked"))
+    before = Window.partitionBy("kind", "key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.withColumn("span", F.last("own", True).over(before)).where("asked AND span IS NOT NULL").select("kind", "key", "bucket", "span")
+    active = named.join(spans.unionByName(carried), ["kind", "key", "bucket"]).where("span.valid_from <= fetched AND (span.valid_to IS NULL OR fetched < span.valid_to)")
+    best = active.groupBy("row_").agg(F.min_by(F.struct("span.verdict", "kind", "key", "span.valid_from"), "rank").alias("m"))
     out = row.join(best, "row_", "left")
     return out.select(
         "capture", "fetched", F.coalesce("m.verdict", F.lit("allow")).alias("verdict"), F.col("m.kind").alias("matched_kind"),

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 from barwright.llm import urllists
 from barwright.llm.q05_urllists import ORACLES, op5_urllists
@@ -44,3 +45,14 @@ def test_all_parents_of_a_long_host(spark):
         entries = spark.createDataFrame([("domain", key, D(0), "block")], "kind string, key string, day date, action string")
         captures = spark.createDataFrame([(1, f"http://{host}/", D(1)), (2, "http://com/", D(1))], "capture long, url string, fetched date")
         assert {r.capture: r.verdict for r in urllists.judge(captures, entries).collect()} == {1: want, 2: "allow"}
+
+
+def test_days_far_apart_and_a_list_much_larger_than_the_captures(spark):
+    """One capture of the year 9999 and thousands of open-ended entries: rows follow captured (key, bucket) pairs, not days."""
+    last = dt.date(9999, 12, 31)
+    entries = spark.range(20_000).selectExpr("'host' AS kind", "concat('h', id % 4000, '.org') AS key", "date_add(DATE'2024-01-01', CAST(id AS INT)) AS day", "IF(id % 3 = 0, 'allow', 'block') AS action")
+    captures = spark.createDataFrame([(1, "http://h7.org/", last), (2, "http://h7.org/", D(7)), (3, "http://h7.org/", D(6)), (4, "http://h9.org/", D(4009)), (5, "http://x.org/", last)], "capture long, url string, fetched date")
+    began = time.monotonic()
+    got = {r.capture: (r.verdict, r.valid_from) for r in urllists.judge(captures, entries).collect()}
+    assert got == {1: ("block", D(16_007)), 2: ("block", D(7)), 3: ("allow", None), 4: ("block", D(4009)), 5: ("allow", None)}
+    assert time.monotonic() - began < 60
