@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.windows import sums_before
+from .shared import checkpointed
 
 #: Ranges that a numeric field's values are dealt into.
 RANGES = 64
@@ -126,7 +127,7 @@ def number_splits(counts: DataFrame) -> DataFrame:
 
 def best_splits(rows: DataFrame, numeric: list[str], by: list[str]) -> DataFrame:
     """(by, field, cut, candidates, bits): the split of the fewest bits; equal ones give the first field, then the smallest cut."""
-    counts = field_counts(rows, numeric).checkpoint()
+    counts = checkpointed(field_counts(rows, numeric))
     splits = category_splits(counts).unionByName(number_splits(counts))
     first = F.min(F.struct(F.round("bits", 6).alias("bits"), "field", "cut", "candidates")).alias("b")
     return splits.groupBy(*by).agg(first).select(*[c for c in by if c != "field"], "b.field", "b.cut", "b.candidates", "b.bits")
@@ -139,7 +140,7 @@ def grow_tree(cases: DataFrame, outcome: str, numeric: list[str], categorical: l
     field. Each field is used once on a path, so there are as many levels as fields at most. The cases left in open nodes are
     checkpointed (``spark.checkpoint.dir``) at each level, and what is done with leaves drops out. No case: no node.
     """
-    rows, nodes, depth = open_cases(cases, outcome, numeric, categorical).checkpoint(), None, 0
+    rows, nodes, depth = checkpointed(open_cases(cases, outcome, numeric, categorical)), None, 0
     while True:
         own = described(rows.groupBy("node", "outcome").agg(F.count("*").alias("n")), ["node"])
         own = own.select("node", F.lit(depth).alias("depth"), F.col("n").alias("cases"), F.col("kinds").alias("outcome_kinds"), F.round(F.col("bits") + 1, 6).alias("leaf_bits"))
@@ -147,7 +148,7 @@ def grow_tree(cases: DataFrame, outcome: str, numeric: list[str], categorical: l
         level = own.join(split, "node", "left")
         better = F.coalesce((F.col("bits") < F.col("leaf_bits")) & (F.col("cases") > 1) & (F.col("outcome_kinds") > 1), F.lit(False))
         kept = {c: F.when(better, F.col(c)) for c in ("field", "cut", "candidates")}
-        level = level.select("node", "depth", "cases", "outcome_kinds", "leaf_bits", *[v.alias(k) for k, v in kept.items()], F.when(better, F.col("bits")).alias("split_bits")).checkpoint()
+        level = checkpointed(level.select("node", "depth", "cases", "outcome_kinds", "leaf_bits", *[v.alias(k) for k, v in kept.items()], F.when(better, F.col("bits")).alias("split_bits")))
         nodes = level if nodes is None else nodes.unionByName(level)
         chosen = level.where("field IS NOT NULL").select("node", "field", "cut")
         n = chosen.count()
@@ -157,10 +158,10 @@ def grow_tree(cases: DataFrame, outcome: str, numeric: list[str], categorical: l
         v = F.element_at("values", F.col("field"))
         number = F.when(v["x"] <= F.col("cut"), F.concat(F.lit("<="), F.col("cut").cast("string"))).when(v["x"] > F.col("cut"), F.concat(F.lit(">"), F.col("cut").cast("string")))
         branch = F.coalesce(number, F.concat(F.lit("="), v["text"]), F.lit(f"={MISSING}"))
-        rows = met.select(F.concat("node", F.lit("/"), "field", branch).alias("node"), "outcome", F.array_remove("left", F.col("field")).alias("left"), "values").checkpoint()
+        rows = checkpointed(met.select(F.concat("node", F.lit("/"), "field", branch).alias("node"), "outcome", F.array_remove("left", F.col("field")).alias("left"), "values"))
         depth += 1
 
 
 def first_splits(cases: DataFrame, outcome: str, numeric: list[str], categorical: list[str]) -> DataFrame:
     """(field, cut, candidates, bits): the best split of all cases by each field."""
-    return best_splits(open_cases(cases, outcome, numeric, categorical).checkpoint(), numeric, ["node", "field"]).drop("node")
+    return best_splits(checkpointed(open_cases(cases, outcome, numeric, categorical)), numeric, ["node", "field"]).drop("node")

@@ -40,8 +40,15 @@ def latest_states(events: DataFrame) -> DataFrame:
 
 
 def run_once(stream: DataFrame, folder: str, mode: str) -> DataFrame:
-    """Run a stream over what is there, into Parquet below ``folder``; each batch is written whole, then named by its id."""
-    name = f"{folder}/stream-{uuid.uuid4().hex}"
+    """Run a stream over what is there, into Parquet below ``folder``."""
+    return run_into(stream, f"{folder}/stream-{uuid.uuid4().hex}", mode)
+
+
+def run_into(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """Run a stream over what it hasn't seen yet, by its checkpoint below ``name``; all rows that it has ever written there.
+
+    Each batch is written whole, then named by its id, so a batch that is run again replaces itself.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{name}/rows/batch_{number}")
