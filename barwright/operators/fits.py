@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Time buckets are so many window widths long.
-BUCKET_WIDTHS = 4
+BUCKET_WIDTHS = 2
 #: Sums of squares below this share of their terms are nothing.
 NOTHING = 1e-9
+#: A parabola needs times that spread over this share of the width (as a standard deviation), and a determinant above this share of
+#: its largest term: times that are nearly one or two points have none.
+SPREAD, SINGULAR = 0.05, 1e-3
 
 
 def window_fits(df: DataFrame, keys: list[str], time: str, value: str, width: float) -> DataFrame:
@@ -16,7 +19,7 @@ def window_fits(df: DataFrame, keys: list[str], time: str, value: str, width: fl
 
     ``slope`` and ``r2`` are those of the line, ``curvature`` is twice the quadratic coefficient of the parabola (the closed
     solution of its normal equations about the mean time). They are null with less than two, for the curvature three, different
-    times; ``r2`` is null for a constant value. Rows without a time or a value have no fit and are in none.
+    times (which also have to spread, see SPREAD); ``r2`` is null for a constant value. Rows without a time or a value have no fit and are in none.
 
     All follow from sums of powers over one RANGE frame. Rows are dealt out by key and time bucket, each bucket with a copy of
     the ``width`` before it: a key with very many rows is no single task, and powers are taken of times within a bucket, so sums
@@ -43,7 +46,7 @@ def window_fits(df: DataFrame, keys: list[str], time: str, value: str, width: fl
     det = m2 * (m4 - F.try_divide(m2 * m2, s["n"])) - m3 * m3
     line = (s["n"] >= 2) & (m2 > NOTHING * s["x2"])
     slope = F.when(some & line, F.try_divide(uy, m2))
-    curved = F.when(some & line & (s["n"] >= 3) & (det > NOTHING * m2 * m4), F.try_divide(m2 * uuy - m3 * uy, det))
+    curved = F.when(some & line & (s["n"] >= 3) & (m2 >= SPREAD * SPREAD * s["n"]) & (det > SINGULAR * m2 * m4), F.try_divide(m2 * uuy - m3 * uy, det))
     r2 = F.when(some & line & (yy > NOTHING * s["y2"]), F.try_divide(uy * uy, m2 * yy))
     found = sums.withColumns({"_slope": slope / width, "_curved": 2 * curved / (width * width), "_r2": r2})
     return found.select(*df.columns, F.when(some, s["n"]).otherwise(0.0).cast("long").alias("n"), F.col("_slope").alias("slope"), F.col("_curved").alias("curvature"), F.col("_r2").alias("r2"))
@@ -70,7 +73,7 @@ def path_fits(points: Column) -> Column:
     m3, m4 = total(points, lambda p: u(p) * u(p) * u(p)), total(points, lambda p: u(p) * u(p) * u(p) * u(p))
     uuy = total(points, lambda p: u(p) * u(p) * (p["y"] - a["my"]))
     det = a["xx"] * (m4 - F.try_divide(a["xx"] * a["xx"], a["n"])) - m3 * m3
-    curvature = F.when((a["n"] >= 3) & (det > NOTHING * a["xx"] * m4), 2 * (a["xx"] * uuy - m3 * a["xy"]) / det)
+    curvature = F.when((a["n"] >= 3) & (det > SINGULAR * a["xx"] * m4), 2 * (a["xx"] * uuy - m3 * a["xy"]) / det)
     last = F.try_element_at(points, F.lit(-1))
     concavity = F.when((last["x"] > 0) & (last["y"] > 0), -curvature * last["x"] * last["x"] / last["y"])
     logs = F.transform(F.filter(points, lambda p: (p["x"] > 0) & (p["y"] > 0)), lambda p: F.struct(F.ln(p["x"]).alias("x"), F.ln(p["y"]).alias("y")))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import near, near_sql
-from ..operators.fits import path_fits, window_fits
+from ..operators.fits import SINGULAR, SPREAD, path_fits, window_fits
 from ..operators.mechanisms import ramp
 from ..operators.shocks import Rules, curves, shocks, tracked
 from ..sources.tables import TAPE, TOUCHES, tape, touches
@@ -14,12 +14,10 @@ from .registry import query
 
 PRINTS = f"{TAPE}, prints AS (SELECT symbol, event_id, CAST(floor(epoch_us(t) / 1000000) AS BIGINT) AS sec, value, k, CASE WHEN source IN ('click', 'purchase') THEN 1 ELSE -1 END AS side FROM tape)"
 DAYS = 10
-#: The parabola's leading coefficient by Cramer's rule, from the ``sums`` of a group.
-LEAD = "((ssy * (s2 * n - s1 * s1) - s3 * (sy * n - y1 * s1) + s2 * (sy * s1 - y1 * s2)) / nullif(s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2), 0))"
-
-
-def sums(x: str) -> str:
-    return f"count(*) AS n, sum({x}) AS s1, sum({x} * {x}) AS s2, sum({x} ** 3) AS s3, sum({x} ** 4) AS s4, sum(y) AS y1, sum({x} * y) AS sy, sum({x} * {x} * y) AS ssy"
+#: Sums of a group about its mean x and y, and the parabola's leading coefficient from them.
+CENTRED = "x - avg(x) OVER (PARTITION BY symbol, event_id) AS u, y - avg(y) OVER (PARTITION BY symbol, event_id) AS v"
+SUMS = "count(*) AS n, sum(u * u) AS m2, sum(u ** 3) AS m3, sum(u ** 4) AS m4, sum(u * v) AS uv, sum(u * u * v) AS uuv"
+LEAD = f"CASE WHEN n >= 3 AND m2 * (m4 - m2 * m2 / n) - m3 * m3 > {SINGULAR} * m2 * m4 THEN (m2 * uuv - m3 * uv) / (m2 * (m4 - m2 * m2 / n) - m3 * m3) END"
 
 
 def prints(spark, sf_dir):
@@ -27,20 +25,20 @@ def prints(spark, sf_dir):
     return tape(spark, sf_dir).select("symbol", "event_id", F.unix_seconds(F.col("t").cast("timestamp")).alias("sec"), "value", "k", side.alias("side"))
 
 
-@query(f"""WITH {PRINTS}, j AS (SELECT a.symbol, a.event_id, (b.sec - a.sec) / 86400.0::DOUBLE AS u, b.value AS y FROM prints a JOIN prints b ON b.symbol = a.symbol AND b.sec <= a.sec AND b.sec >= a.sec - {DAYS * 86400}),
-s AS (SELECT symbol, event_id, {sums('u')}, count(DISTINCT u) AS times, count(DISTINCT y) AS kinds, regr_slope(y, u) AS slope, regr_r2(y, u) AS r2 FROM j GROUP BY ALL)
-SELECT symbol, event_id, n, CASE WHEN times >= 2 THEN {near_sql('slope')} END AS slope, CASE WHEN times >= 3 THEN {near_sql(f'2 * {LEAD}')} END AS curvature, CASE WHEN times >= 2 AND kinds >= 2 THEN {near_sql('r2')} END AS r2 FROM s""")
+@query(f"""WITH {PRINTS}, j AS (SELECT a.symbol, a.event_id, (b.sec - a.sec) / 86400.0::DOUBLE AS x, b.value AS y FROM prints a JOIN prints b ON b.symbol = a.symbol AND b.sec <= a.sec AND b.sec >= a.sec - {DAYS * 86400}),
+c AS (SELECT *, {CENTRED} FROM j), s AS (SELECT symbol, event_id, {SUMS}, count(DISTINCT x) AS times, count(DISTINCT y) AS kinds, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2 FROM c GROUP BY ALL)
+SELECT symbol, event_id, n, CASE WHEN times >= 2 THEN {near_sql('slope')} END AS slope, CASE WHEN m2 >= {(SPREAD * DAYS) ** 2} * n THEN floor(2 * ({LEAD}) * 1e3 + 0.5) / 1e3 END AS curvature, CASE WHEN times >= 2 AND kinds >= 2 THEN {near_sql('r2')} END AS r2 FROM s""")
 def irregular_fits(spark, sf_dir):
     """Slope, curvature and fit of the value over the ten days behind each print, in days."""
     p = prints(spark, sf_dir).select("symbol", "event_id", "value", (F.col("sec") / 86400.0).alias("day"))
     f = window_fits(p, ["symbol"], "day", "value", DAYS)
-    return f.select("symbol", "event_id", "n", near("slope").alias("slope"), near("curvature").alias("curvature"), near("r2").alias("r2"))
+    return f.select("symbol", "event_id", "n", near("slope").alias("slope"), (F.floor(F.col("curvature") * 1e3 + 0.5) / 1e3).alias("curvature"), near("r2").alias("r2"))
 
 
 LAST = 12
 SQRT_LIKE = "least(greatest(1 - abs(exponent - 0.5) / 0.4, 0.0), 1.0)"
 IMPACT = (
-    f"{ramp('CAST(points AS DOUBLE)', 4.0, 10.0)} * {ramp('last_y', 0.5, 3.0)} * coalesce(power(CASE WHEN slope > 0 THEN {ramp('concavity', 0.3, 1.2)} ELSE 0.0 END * {SQRT_LIKE} * {ramp('r2', 0.5, 0.9)}, 1.0 / 3), 0.0)"
+    f"{ramp('CAST(points AS DOUBLE)', 4.0, 10.0)} * {ramp('last_y', 0.5, 3.0)} * coalesce(power(CASE WHEN slope > 0 THEN {ramp('concavity', 0.3, 1.2)} ELSE 0.0 END * {SQRT_LIKE} * {ramp('r2', 0.5, 0.9)}, CAST(1 AS DOUBLE) / 3), 0.0)"
     f" * (0.6 + 0.4 * {ramp('abs(CAST(flow AS DOUBLE)) / nullif(total, 0)', 0.3, 0.8)})"
 )
 
@@ -49,9 +47,10 @@ IMPACT = (
 j AS (SELECT a.symbol, a.event_id, b.rn, b.value, b.side * b.k AS f, b.k, row_number() OVER (PARTITION BY a.symbol, a.event_id ORDER BY b.rn) AS i FROM r a JOIN r b ON b.symbol = a.symbol AND b.rn BETWEEN a.rn - {LAST - 1} AND a.rn),
 d AS (SELECT symbol, event_id, sum(f) FILTER (i > 1) AS flow, sum(k) FILTER (i > 1) AS total, min_by(value, i) AS v0 FROM j GROUP BY ALL),
 p AS (SELECT symbol, event_id, i, flow, total, sign(flow) * sum(CASE WHEN i > 1 THEN f ELSE 0 END) OVER (PARTITION BY symbol, event_id ORDER BY i) AS x, sign(flow) * (value - v0) AS y FROM j JOIN d USING (symbol, event_id)),
-s AS (SELECT symbol, event_id, any_value(flow) AS flow, any_value(total) AS total, {sums('x')}, count(DISTINCT x) AS places, max_by(x, i) AS last_x, max_by(y, i) AS last_y, regr_slope(y, x) AS slope,
-  count(*) FILTER (x > 0 AND y > 0) AS logs, regr_slope(ln(y), ln(x)) FILTER (x > 0 AND y > 0) AS b, regr_r2(ln(y), ln(x)) FILTER (x > 0 AND y > 0) AS br FROM p GROUP BY ALL),
-c AS (SELECT symbol, event_id, n AS points, flow, total, last_y, CASE WHEN places >= 2 THEN slope END AS slope, CASE WHEN places >= 3 AND last_x > 0 AND last_y > 0 THEN -2 * {LEAD} * last_x * last_x / last_y END AS concavity,
+q AS (SELECT *, {CENTRED} FROM p),
+s AS (SELECT symbol, event_id, any_value(flow) AS flow, any_value(total) AS total, {SUMS}, count(DISTINCT x) AS places, max_by(x, i) AS last_x, max_by(y, i) AS last_y, regr_slope(y, x) AS slope,
+  count(*) FILTER (x > 0 AND y > 0) AS logs, regr_slope(ln(y), ln(x)) FILTER (x > 0 AND y > 0) AS b, regr_r2(ln(y), ln(x)) FILTER (x > 0 AND y > 0) AS br FROM q GROUP BY ALL),
+c AS (SELECT symbol, event_id, n AS points, flow, total, last_y, CASE WHEN places >= 2 THEN slope END AS slope, CASE WHEN last_x > 0 AND last_y > 0 THEN -2 * ({LEAD}) * last_x * last_x / last_y END AS concavity,
   CASE WHEN logs >= 4 THEN b END AS exponent, CASE WHEN logs >= 4 THEN br END AS r2 FROM s WHERE flow <> 0)
 SELECT symbol, event_id, points, {near_sql('exponent')} AS exponent, {near_sql('r2')} AS r2, {near_sql(IMPACT)} AS score, CASE WHEN {near_sql(IMPACT)} > 0 THEN sign(flow)::INT ELSE 0 END AS direction FROM c""")
 def metaorder_impact(spark, sf_dir):

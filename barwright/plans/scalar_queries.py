@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import by_symbol, near, near_sql, pct_rank, r6
+from ..operators.causal import earlier_below
 from ..sources.tables import BARS, TAPE, bars, table, tape
 from .registry import query
 
@@ -74,19 +75,9 @@ def volume_bins(spark, sf_dir):
 
 @query(f"WITH {BARS}, x AS (SELECT symbol, ts, close, list(close) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM bars) SELECT symbol, ts, CASE WHEN len(past) >= 20 THEN {near_sql('len(list_filter(past, lambda y: y < close)) / len(past)::DOUBLE')} END AS own_rank FROM x")
 def causal_rank(spark, sf_dir):
-    """Share of a symbol's own earlier closes below the current one: counted against a sorted list, one pass per symbol."""
-    import bisect
-
-    def run(key, pdf):
-        seen, below = [], []
-        pdf = pdf.sort_values("ts")
-        for v in pdf["close"]:
-            below.append(bisect.bisect_left(seen, v))
-            bisect.insort(seen, v)
-        return pdf[["symbol", "ts"]].assign(below=below, n=range(len(below)))
-
-    counts = bars(spark, sf_dir).select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, "symbol long, ts date, below long, n long")
-    return counts.select("symbol", "ts", F.when(F.col("n") >= 20, near(F.col("below") / F.col("n"))).alias("own_rank"))
+    """Share of a symbol's own earlier closes below the current one, counted in ranges of time and of closes."""
+    counts = earlier_below(bars(spark, sf_dir).select("symbol", "ts", F.unix_date("ts").alias("day"), "close"), "symbol", "day", "close")
+    return counts.select("symbol", "ts", F.when(F.col("earlier") >= 20, near(F.col("below") / F.col("earlier"))).alias("own_rank"))
 
 
 @query(f"WITH {BARS}, r AS (SELECT *, ln(close / nullif(lag(close) OVER ({S}), 0)) AS ret FROM bars), x AS (SELECT symbol, ts, ret, row_number() OVER ({S}) AS n FROM r WHERE ret IS NOT NULL) SELECT a.symbol, round(corr(a.ret, b.ret), 6) AS autocorrelation, count(*) AS pairs FROM x a JOIN x b ON a.symbol = b.symbol AND b.n = a.n + 1 GROUP BY a.symbol")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barwright.operators.fits import path_fits, window_fits
+from barwright.operators.fits import SINGULAR, SPREAD, path_fits, window_fits
 from barwright.operators.shocks import Rules, curves, shocks, tracked
 
 
@@ -21,8 +21,10 @@ def brute(rows, width):
             slope = np.polyfit(x, v, 1)[0]
             if len(set(v)) > 1:
                 r2 = np.corrcoef(x, v)[0, 1] ** 2
-            if len(set(x)) >= 3:
-                curvature = 2 * np.polyfit(x, v, 2)[0]
+            u = x - x.mean()
+            m2, m3, m4 = (float((u**k).sum()) for k in (2, 3, 4))
+            if len(set(x)) >= 3 and u.std() >= SPREAD * width and m2 * (m4 - m2 * m2 / len(u)) - m3 * m3 > SINGULAR * m2 * m4:
+                curvature = 2 * np.polyfit(u, v, 2)[0]
         out[i] = (len(near) if y is not None and t is not None else 0, slope, curvature, r2)
     return out
 
