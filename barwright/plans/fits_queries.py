@@ -27,12 +27,13 @@ def prints(spark, sf_dir):
 
 @query(f"""WITH {PRINTS}, j AS (SELECT a.symbol, a.event_id, (b.sec - a.sec) / 86400.0::DOUBLE AS x, b.value AS y FROM prints a JOIN prints b ON b.symbol = a.symbol AND b.sec <= a.sec AND b.sec >= a.sec - {DAYS * 86400}),
 c AS (SELECT *, {CENTRED} FROM j), s AS (SELECT symbol, event_id, {SUMS}, count(DISTINCT x) AS times, count(DISTINCT y) AS kinds, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2 FROM c GROUP BY ALL)
-SELECT symbol, event_id, n, CASE WHEN times >= 2 THEN {near_sql('slope')} END AS slope, CASE WHEN m2 >= {(SPREAD * DAYS) ** 2} * n THEN floor(2 * ({LEAD}) * 1e3 + 0.5) / 1e3 END AS curvature, CASE WHEN times >= 2 AND kinds >= 2 THEN {near_sql('r2')} END AS r2 FROM s""")
+SELECT symbol, event_id, n, CASE WHEN times >= 2 THEN floor(slope * 1e2 + 0.5) / 1e2 END AS slope, CASE WHEN m2 >= {(SPREAD * DAYS) ** 2} * n THEN floor(2 * ({LEAD}) * 1e3 + 0.5) / 1e3 END AS curvature, CASE WHEN times >= 2 AND kinds >= 2 THEN {near_sql('r2')} END AS r2 FROM s""")
 def irregular_fits(spark, sf_dir):
     """Slope, curvature and fit of the value over the ten days behind each print, in days."""
     p = prints(spark, sf_dir).select("symbol", "event_id", "value", (F.col("sec") / 86400.0).alias("day"))
     f = window_fits(p, ["symbol"], "day", "value", DAYS)
-    return f.select("symbol", "event_id", "n", near("slope").alias("slope"), (F.floor(F.col("curvature") * 1e3 + 0.5) / 1e3).alias("curvature"), near("r2").alias("r2"))
+    rounded = lambda c, unit: (F.floor(F.col(c) * unit + 0.5) / unit).alias(c)  # noqa: E731  fewer digits, as prints seconds apart make steep slopes
+    return f.select("symbol", "event_id", "n", rounded("slope", 1e2), rounded("curvature", 1e3), near("r2").alias("r2"))
 
 
 LAST = 12

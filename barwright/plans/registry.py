@@ -18,5 +18,5 @@ def query(sql: str | None = None):
     return add
 
 
-for _name in ("bars", "joins", "book", "stats", "tape", "streams", "mechanism", "scalar", "engine", "parsing", "snapshot", "session", "evaluation", "fusion", "relations", "ledger", "fits", "digests", "paths", "resampled"):
+for _name in ("bars", "joins", "book", "stats", "tape", "streams", "mechanism", "scalar", "engine", "parsing", "snapshot", "session", "evaluation", "fusion", "relations", "ledger", "fits", "digests", "paths", "resampled", "identity"):
     import_module(f"barwright.plans.{_name}_queries")
