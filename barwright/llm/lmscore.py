@@ -5,14 +5,15 @@ from the corpus' counts of bytes after one another, so a usual letter is few dec
 (the last bytes of the word, the whole of it so far, either with the leader of the text so far) in hashed tables of how often the bit
 was 0 and 1 in the training words, as a logit. The leader is the most frequent yet of a few very common words: it tells languages
 and kinds of text apart. A mixer adds the logits by weights and squashes the sum; its set of weights is gated by how often the word
-so far was seen, or else how many contexts are known, and by how far into the byte the bit stands. The weights start from those learned on a small sample of documents that the
-predictors don't count, and every document refines its own copy as it goes: what a bit costs is settled before the weights learn
-from it, so a document's bits add up to a proper probability of the whole text. Letters of other words are
-no context; that makes the inputs of a word the same wherever it stands under one leader, and they are looked up once for each distinct
-pair of a chunk of texts.
-
-The predictors add up over all training words in Spark, in ranges of slots; the tables grow with the words' letters up to a
-fixed size and are broadcast. Counts of words, which grow with the corpus, are only joined.
+so far was seen, or else how many contexts are known, and by how far into the byte the bit stands. The first weights are learned from all
+occurrences of all training words, each looked up in counts without itself, and every document refines its own copy as it goes: what a
+bit costs is settled before the weights learn from it, so a document's bits add up to a proper probability of the whole text. Letters of
+other words are no context; that makes the inputs of a word the same wherever it stands under one leader, and they are looked up once
+for each distinct pair of a chunk of texts.
+
+Texts are cut into words once, in chunks, and kept as numbers of the chunk's words. The predictors add up over all training words in
+Spark, in ranges of slots; the tables grow with the words' letters up to a fixed size and are broadcast. Counts of words, which grow
+with the corpus, meet the chunks' words in a shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, column, materialise, partition_id
@@ -42,14 +43,14 @@ NEAR = 10
 RANGES = 4
 #: Logits are kept in sixteenths of a byte's range.
 SCALE = 16.0
-#: Training documents that the weights are learned on at most, and the remainder of crc32(doc_id) mod 10 they have.
-WEIGHT_DOCS, WEIGHT_REST = 500, 9
-#: First weight, rates of learning on the sample and in a document, and samples at which a block's step is halved.
-FIRST, RATE, OWN_RATE, HALF = 0.25, 0.002, 0.002, 100.0
-#: Bytes of text that a task scores, or counts the words of, at a time, about; a longer text is taken alone.
-TEXT_BYTES, COUNT_BYTES = 1 << 20, 2 << 20
-#: Bytes of text whose words a task keeps and lists together.
-CHUNK_BYTES = 7 << 20
+#: Weight that learning starts from, rate of learning in a document, and samples at which a block's step is halved.
+FIRST, OWN_RATE, HALF = 0.25, 0.002, 100.0
+#: Bytes of text that a task scores at a time, about; a longer text is taken alone.
+TEXT_BYTES = 1 << 20
+#: Bytes of text whose words are listed together, and what a text counts beside its own.
+CHUNK_BYTES, ROW_BYTES = 7 << 20, 100
+#: Letters looked up together, about, and those of a word that are compared with the word before.
+LOOKED_UP, WIDE = 1 << 16, 24
 #: Letters of words whose (slot, pair of bytes) counts a task adds up before it sends them on, and the bits of a pair's number.
 PAIR_BYTES, PAIR_BITS = 1 << 20, 17
 MOST_COUNTED = (1 << 24) - 1
@@ -154,6 +155,35 @@ def hashes(letters: np.ndarray, sizes: np.ndarray, leader: np.ndarray) -> Iterat
         yield h * _M2
 
 
+def parts_of(sizes: np.ndarray) -> Iterator[slice]:
+    """Words of such sizes in runs of about LOOKED_UP bytes: what stays in a processor's cache while it is looked up."""
+    cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(sizes) // LOOKED_UP)) + 1, len(sizes)]
+    yield from (slice(x, y) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if x < y)
+
+
+def shared(letters: np.ndarray, sizes: np.ndarray, leader: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the letters that are no part of a beginning shared with the word before, for each letter which of these it equals).
+
+    All that a predictor sees of a letter are the leader and the word's letters up to it. Beginnings are compared up to WIDE letters.
+    """
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    near_ = np.flatnonzero(place < WIDE)
+    cell = word[near_] * WIDE + place[near_]
+    grid = np.zeros((len(sizes), WIDE), np.uint8)
+    grid.ravel()[cell] = letters[near_]
+    same = np.zeros(grid.shape, bool)
+    same[1:] = (grid[1:] == grid[:-1]) & (grid[1:] != 0) & (leader[1:] == leader[:-1])[:, None]
+    same = np.logical_and.accumulate(same, axis=1)
+    new = np.ones(len(letters), bool)
+    new[near_] = ~same.ravel()[cell]
+    number = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    last = np.zeros(grid.shape, np.int32)
+    last.ravel()[cell] = np.where(new[near_], number[near_], 0)
+    number[near_] = np.maximum.accumulate(last, axis=0).ravel()[cell]
+    return np.flatnonzero(new), number
+
+
 class Model:
     """What a scorer holds: the code, a table of logits per context, levels of the last one, leaders and first weights (gates x 8)."""
 
@@ -164,20 +194,22 @@ class Model:
             weights[:, 7] = 0
         self.weights = weights
 
-    def inputs(self, words: list[str], leader: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rows of inputs as 64 bits, first row of each word, rows of each word) of words under leaders.
+    def looked_up(self, letters: np.ndarray, sizes: np.ndarray, leader: np.ndarray, fresh: np.ndarray, coded: np.ndarray, left_out: bool = False) -> np.ndarray:
+        """Rows of inputs as 64 bits, one for each bit of the letters that are ``fresh``, with pairs ``coded``.
 
-        A row's bytes are the logits, at most seven, and 2 x gate + the bit itself.
+        A row's bytes are the logits, at most seven, and 2 x gate + the bit itself. ``left_out``: the model's tables and levels are
+        those without the bit itself, for a slot and the bit at 2 x slot + bit.
         """
-        letters, sizes = spelled(words)
-        coded = self.code.pairs(letters, sizes)
         at, depth = self.code.bits(coded)
         cell = coded.astype(np.int32).take(at) * np.int32(self.code.node.shape[1]) + depth
         apart, bit = near(self.code.node.astype(np.int32)).take(cell), self.code.bit.take(cell)
         rows, known = np.zeros((len(at), 8), np.int8), np.zeros(len(at), np.int8)
         for i, (h, table) in enumerate(zip(hashes(letters, sizes, leader), self.tables)):
-            slot = (h >> np.uint64(64 - (len(table).bit_length() - 1))).astype(np.int32).take(at)
+            power = len(table).bit_length() - 1 - left_out
+            slot = (h[fresh] >> np.uint64(64 - power)).astype(np.int32).take(at)
             slot ^= apart
+            if left_out:
+                slot = 2 * slot + bit
             logit = table.take(slot)
             rows[:, i] = logit
             if i < 3:
@@ -186,11 +218,28 @@ class Model:
                 level = self.sure.take(slot)
         gate = np.where(level, level + np.int8(3), known)
         rows[:, 7] = 2 * (3 * gate + np.minimum(depth, 2).astype(np.int8)) + bit
-        ends = np.cumsum(self.code.length[coded])
-        last = np.cumsum(sizes) - 1
-        stops = ends[last] if len(last) else ends
-        first = np.r_[np.int64(0), stops[:-1]] if len(stops) else stops
-        return rows.view(np.uint64).ravel(), first, stops - first
+        return rows.view(np.uint64).ravel()
+
+    def inputs(self, words: list[str], leader: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of inputs as ``looked_up`` gives them, first row of each word, rows of each word) of words under leaders.
+
+        Letters that a word has in common with the one before it are looked up once; sorted words share the most.
+        """
+        letters, sizes = spelled(words)
+        coded = self.code.pairs(letters, sizes)
+        stop, ends = np.cumsum(sizes), np.r_[0, np.cumsum(self.code.length[coded])]
+        first = ends[stop - sizes]
+        rows = np.empty(ends[-1], np.uint64)
+        for w in parts_of(sizes):
+            part = slice(stop[w.start] - sizes[w.start], stop[w.stop - 1])
+            fresh, same = shared(letters[part], sizes[w], leader[w])
+            found = self.looked_up(letters[part], sizes[w], leader[w], fresh, coded[part][fresh])
+            n = self.code.length[coded[part]]
+            own = n[fresh]
+            at = np.repeat(((np.cumsum(own) - own)[same] - (np.cumsum(n) - n)).astype(np.int32), n)
+            at += np.arange(len(at), dtype=np.int32)
+            rows[ends[part.start] : ends[part.stop]] = found.take(at)
+        return rows, first, ends[stop] - first
 
     def step(self, rows: np.ndarray, lane: np.ndarray, weights: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
         """Mix a block of rows, then learn from it: (lane of each bit, its log-probability), in some order.
@@ -241,33 +290,6 @@ class Model:
             done, block = done + block, min(8192, block if done == 0 else 2 * block)
         return out
 
-    def learn(self, rows: np.ndarray, first: np.ndarray, sizes: np.ndarray, words: np.ndarray, block: int = 2048) -> float:
-        """Go through texts with one common set of weights and keep it; the sum of log-probabilities."""
-        n, total = sizes[words], 0.0
-        stream = np.repeat(first[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        for at in range(0, len(stream), block):
-            part = stream[at : at + block]
-            total += float(self.step(rows[part], np.zeros(len(part), np.int32), self.weights, RATE)[1].sum())
-        return total
-
-
-class Seen:
-    """Words under leaders that a task has met, with their inputs, each looked up once."""
-
-    def __init__(self, model: Model):
-        self.model, self.number = model, {}
-        self.rows, self.first, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def numbers(self, words: list[str], leader: np.ndarray) -> np.ndarray:
-        """The number of each; new ones get the next ones."""
-        before = len(self.number)
-        out = np.fromiter((self.number.setdefault(p, len(self.number)) for p in zip(leader.tolist(), words)), np.int64, len(words))
-        fresh = np.flatnonzero(out >= before)
-        rows, first, sizes = self.model.inputs([words[i] for i in fresh], leader[fresh])
-        self.first = np.r_[self.first, first + len(self.rows)]
-        self.rows, self.sizes = np.r_[self.rows, rows], np.r_[self.sizes, sizes]
-        return out
-
 
 def cut(texts: pa.Array, ordered: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, word numbers of all texts one after the other, where each text ends); END closes each text.
@@ -314,20 +336,95 @@ def led(words: pa.Array, numbers: np.ndarray, ends: np.ndarray, leaders: list[st
     return words.take(pa.array(word)), leader, found
 
 
-def count_words(docs: DataFrame, apart: Column, leaders: list[str]) -> DataFrame:
-    """(leader, token, n, counted): how often each word is in all ``docs`` (text) under each leader, and in those that ``apart`` doesn't hold of."""
+def tokenised(docs: DataFrame) -> DataFrame:
+    """Chunks of about CHUNK_BYTES of the texts of ``docs`` (doc_id, text, held_out), cut into words once, in the shared folder.
+
+    Of each chunk: its ``words``, the most frequent first, how often each is in its texts that aren't held out, and of each of its
+    texts the id, whether it is held out and how many words it has; ``ids`` are the numbers of all these words one after the other.
+    """
+
+    def chunk(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        words, numbers, ends = cut(pa.concat_arrays(rows.column("text").chunks), ordered=True)
+        tokens = np.diff(np.r_[0, ends])
+        order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        numbers = rank[numbers]
+        counted = np.repeat(~rows.column("held_out").to_numpy(), tokens)
+        lists = [rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), tokens, words.take(pa.array(order)), np.bincount(numbers[counted], minlength=len(words))]
+        planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # bytes of one weight together: most are small
+        arrays = [pa.array([number], pa.int64()), *[pa.array([x], t) for x, t in zip(lists, (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())))]]
+        return pa.record_batch([*arrays, pa.array([pa.compress(planes, "zstd", asbytes=True)], pa.binary())], ["chunk", "doc_id", "held_out", "tokens", "words", "counted", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = partition_id() << 32, [], 0
         for batch in batches:
-            for part in slices(batch, "text", COUNT_BYTES):
-                words, numbers, ends = cut(part.column("text"))
+            for part in slices(batch, "text", TEXT_BYTES):
+                held.append(part)
+                size += (pc.sum(pc.binary_length(part.column("text"))).as_py() or 0) + ROW_BYTES * part.num_rows
+                if size > CHUNK_BYTES:
+                    yield chunk(number, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield chunk(number, held)
+
+    rows = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), column(docs, "text").cast("string").alias("text"), column(docs, "held_out").alias("held_out"))
+    kinds = "chunk long, doc_id array<long>, held_out array<boolean>, tokens array<int>, words array<string>, counted array<long>, ids binary"
+    return materialise(rows.mapInArrow(run, kinds), "texts")
+
+
+def unpacked(chunk: dict) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """A row of ``tokenised`` as ``cut`` gives it."""
+    ends = np.cumsum(chunk["tokens"], dtype=np.int64)
+    planes = np.frombuffer(pa.decompress(chunk["ids"], 4 * int(ends[-1]), "zstd", asbytes=True), np.uint8)
+    return pa.array(chunk["words"], pa.string()), planes.reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64), ends
+
+
+def listed(texts: DataFrame) -> DataFrame:
+    """(token, chunk, id, n, first): every word of every chunk with its number there and how often all texts that aren't held out have it; ``first`` holds of one row of each word."""
+    words = texts.select("chunk", F.posexplode(F.arrays_zip("words", "counted")).alias("id", "word")).select("chunk", "id", F.col("word.words").alias("token"), F.col("word.counted").alias("own"))
+    own = Window.partitionBy("token")
+    rows = words.select("token", "chunk", "id", F.sum("own").over(own).alias("n"), (F.row_number().over(own.orderBy("chunk")) == 1).alias("first"))
+    return materialise(rows, "words")
+
+
+def count_words(texts: DataFrame, leaders: list[str]) -> DataFrame:
+    """(leader, token, counted): how often each word is in all ``texts`` (``tokenised``) that aren't held out, under each leader."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                words, numbers, ends = unpacked(row)
+                own = np.repeat(~np.array(row["held_out"]), row["tokens"])
                 words, leader, numbers = led(words, numbers, ends, leaders)
-                own = np.repeat(~part.column("apart").to_numpy(zero_copy_only=False), np.diff(np.r_[0, ends]))
-                n = np.bincount(numbers, minlength=len(words))
-                yield pa.record_batch([pa.array(leader), words, pa.array(n), pa.array(np.bincount(numbers[own], minlength=len(words)))], ["leader", "token", "n", "counted"])
+                n = np.bincount(numbers[own], minlength=len(words))
+                seen = np.flatnonzero(n)
+                yield pa.record_batch([pa.array(leader[seen].astype(np.int32)), words.take(pa.array(seen)), pa.array(n[seen])], ["leader", "token", "counted"])
+
+    seen = texts.select("held_out", "tokens", "words", "ids").mapInArrow(run, "leader int, token string, counted long")
+    counts = seen.groupBy("leader", "token").agg(F.sum("counted").alias("counted"))
+    return materialise(counts.sortWithinPartitions("leader", "token"), "words")
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Rows of ``count_words`` as (words, leaders, counts), about PAIR_BYTES of words at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, "token", PAIR_BYTES):
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column("token"))).as_py() or 0
+            if size > PAIR_BYTES:
+                yield joined(held)
+                held, size = [], 0
+    if held:
+        yield joined(held)
+
 
-    seen = docs.select(column(docs, "text").cast("string").alias("text"), apart.alias("apart")).mapInArrow(run, "leader long, token string, n long, counted long")
-    return materialise(seen.groupBy("leader", "token").agg(F.sum("n").alias("n"), F.sum("counted").alias("counted")), "words")
+def joined(held: list[pa.RecordBatch]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    table = pa.Table.from_batches(held)
+    return table.column("token").to_pylist(), table.column("leader").to_numpy().astype(np.int64), table.column("counted").to_numpy()
 
 
 def code_of(counts: DataFrame) -> tuple[Code, int]:
@@ -352,8 +449,8 @@ def code_of(counts: DataFrame) -> tuple[Code, int]:
     return Code(pairs.reshape(256, 256)), sums.get(-1, 0)
 
 
-def tables_of(counts: DataFrame, code: Code, powers: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The predictors' logits from all counted words, 2 ** powers[i] bytes for context i, and the last one's levels, on the driver.
+def tables_of(counts: DataFrame, code: Code, powers: list[int]) -> list[tuple[list[np.ndarray], np.ndarray]]:
+    """(the predictors' logits from all counted words, 2 ** powers[i] bytes for context i, the last one's levels), and both without one zero or one one (at 2 x slot + bit), on the driver.
 
     Each task adds up equal (slot, byte) pairs of its words and sends them, sorted and packed, to their range of slots, where
     their bits are counted.
@@ -361,10 +458,16 @@ def tables_of(counts: DataFrame, code: Code, powers: list[int]) -> tuple[list[np
 
     def packed(words: list[str], leader: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         letters, sizes = spelled(words)
-        coded, n = code.pairs(letters, sizes).astype(np.uint64), n.astype(np.uint64).repeat(sizes)
+        fresh, same = shared(letters, sizes, leader)
+        n = np.bincount(same, n.repeat(sizes), len(fresh)).astype(np.int64)
+        times = n // MOST_COUNTED + 1  # a count that needs more bits is given in several entries
+        at = np.repeat(np.arange(len(n)), times)
+        part = np.full(len(at), MOST_COUNTED, np.uint64)
+        part[np.cumsum(times) - 1] = n % MOST_COUNTED
+        coded, fresh = code.pairs(letters, sizes)[fresh[at]].astype(np.uint64), fresh[at]
         for i, h in enumerate(hashes(letters, sizes, leader)):
             # Slot and pair of bytes in one number, then the count where it is small: sorted, equal ones stand together.
-            both = np.sort((h >> np.uint64(64 - powers[i]) << np.uint64(PAIR_BITS + 24)) | coded << np.uint64(24) | n)
+            both = np.sort((h[fresh] >> np.uint64(64 - powers[i]) << np.uint64(PAIR_BITS + 24)) | coded << np.uint64(24) | part)
             pair = both >> np.uint64(24)
             starts = np.r_[0, np.flatnonzero(pair[1:] != pair[:-1]) + 1]
             keys, times = pair[starts].astype(np.int64), np.add.reduceat(both & np.uint64(0xFFFFFF), starts).astype(np.int64)
@@ -376,24 +479,8 @@ def tables_of(counts: DataFrame, code: Code, powers: list[int]) -> tuple[list[np
             )
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += pc.sum(pc.binary_length(batch.column("token"))).as_py() or 0
-            if size > PAIR_BYTES:
-                yield from packed(*joined(held))
-                held, size = [], 0
-        if size:
-            yield from packed(*joined(held))
-
-    def joined(held: list[pa.RecordBatch]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        table = pa.Table.from_batches(held)
-        words, leader, n = table.column("token").to_pylist(), table.column("leader").to_numpy(), table.column("counted").to_numpy()
-        times = n // MOST_COUNTED + 1  # a count that needs more bits is given in several equal entries and a rest
-        at = np.repeat(np.arange(len(n)), times)
-        part = np.full(len(at), MOST_COUNTED, np.int64)
-        part[np.cumsum(times) - 1] = n % MOST_COUNTED
-        return [words[i] for i in at], leader[at], part
+        for words in gathered(batches):
+            yield from packed(*words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -408,116 +495,130 @@ def tables_of(counts: DataFrame, code: Code, powers: list[int]) -> tuple[list[np
                 total += np.bincount((slot - r["part"] * size) * 2 + code.bit[coded[at], depth], n[at], 2 * size)
         for (i, r), total in sums.items():
             zero, one = total[::2], total[1::2]
-            logit = np.rint(SCALE * np.log((one + 0.4) / (zero + 0.4))).clip(-127, 127).astype(np.int8)
-            level = np.searchsorted(LEVELS, zero + one, "right").astype(np.int8).tobytes() if i == SURE else None
-            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([r], pa.int32()), pa.array([logit.tobytes()]), pa.array([level], pa.binary())], ["context", "part", "logits", "levels"])
+            less = np.stack([logits(np.maximum(zero - 1, 0), one), logits(zero, np.maximum(one - 1, 0))], 1)
+            levels = [level(zero + one).tobytes(), np.repeat(level(zero + one - 1), 2).tobytes()] if i == SURE else [None, None]
+            found = [logits(zero, one).tobytes(), less.tobytes(), *levels]
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([r], pa.int32()), *[pa.array([x], pa.binary()) for x in found]], ["context", "part", "logits", "less", "levels", "levels_less"])
 
-    kinds = "context int, part int, size long, keys binary, times binary"
-    dealt = counts.where("counted > 0").select("leader", "token", "counted").mapInArrow(pairs, kinds).repartition("context", "part")
-    out, sure = [np.zeros(1 << p, np.int8) for p in powers], np.zeros(1 << powers[SURE], np.int8)
-    for r in dealt.mapInArrow(count, "context int, part int, logits binary, levels binary").collect():
-        size = len(out[r[0]]) >> RANGES
-        own = slice(r[1] * size, (r[1] + 1) * size)
-        out[r[0]][own] = np.frombuffer(r[2], np.int8)
-        if r[3] is not None:
-            sure[own] = np.frombuffer(r[3], np.int8)
-    return out, sure
+    def logits(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+        return np.rint(SCALE * np.log((one + 0.4) / (zero + 0.4))).clip(-127, 127).astype(np.int8)
 
+    def level(n: np.ndarray) -> np.ndarray:
+        return np.searchsorted(LEVELS, n, "right").astype(np.int8)
 
-def learned_weights(docs: DataFrame, model: Model) -> np.ndarray:
-    """The first weights from the sample ``docs`` (doc_id, text; at most WEIGHT_DOCS rows, so one task holds them), one pass in order of ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = "context int, part int, size long, keys binary, times binary"
+    dealt = counts.mapInArrow(pairs, kinds).repartition("context", "part")
+    out, sure = [[np.zeros(k << p, np.int8) for p in powers] for k in (1, 2)], [np.zeros(k << powers[SURE], np.int8) for k in (1, 2)]
+    for r in dealt.mapInArrow(count, "context int, part int, logits binary, less binary, levels binary, levels_less binary").toLocalIterator():
+        size = 1 << powers[r[0]] - RANGES
+        for k, tables, levels in zip((1, 2), out, sure):
+            own = slice(r[1] * k * size, (r[1] + 1) * k * size)
+            tables[r[0]][own] = np.frombuffer(r[1 + k], np.int8)
+            if r[0] == SURE:
+                levels[own] = np.frombuffer(r[3 + k], np.int8)
+    return [(tables, levels) for tables, levels in zip(out, sure)]
+
+
+def first_weights(counts: DataFrame, model: Model) -> np.ndarray:
+    """The first weights: one Newton step of logistic regression over every occurrence of every counted word, from FIRST, which they are drawn to as normal ones of that spread.
+
+    ``model`` has the tables without the bit itself: each occurrence is weighed as one that the predictors haven't seen. What an
+    occurrence's bits are worth depends on the word alone, so words are gone through once, times their counts; sums of slopes and
+    curvatures, 72 numbers a gate, are all that tasks send on.
+    """
+    shared_model = counts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(shared.value.code, shared.value.tables, shared.value.sure, shared.value.leaders, shared.value.weights.copy())
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words, leader, numbers = led(*cut(part.column("text")), own.leaders)
-                own.learn(*own.inputs(words.to_pylist(), leader), numbers)
-        yield pa.record_batch([pa.array([own.weights.tobytes()])], ["weights"])
-
-    one = docs.select("doc_id", column(docs, "text").cast("string").alias("text")).coalesce(1).sortWithinPartitions("doc_id", "text")
-    return np.frombuffer(one.mapInArrow(run, "weights binary").first()[0], np.float32).reshape(GATES, 8)
-
-
-def train(docs: DataFrame) -> tuple[DataFrame, Model]:
-    """(word counts of all ``docs`` (doc_id, text), the model learned from them).
-
-    The weights are learned on the at most WEIGHT_DOCS ids of remainder WEIGHT_REST with the smallest hashes, whose most frequent words
-    are the leaders; all other documents, those without an id too, are what the predictors count.
+        own, total = shared_model.value, np.zeros((GATES, 9, 8))
+        for words, leaders, counted in gathered(batches):
+            all_letters, all_sizes = spelled(words)
+            stop = np.cumsum(all_sizes)
+            for w in parts_of(all_sizes):
+                letters, sizes, leader = all_letters[stop[w.start] - all_sizes[w.start] : stop[w.stop - 1]], all_sizes[w], leaders[w]
+                fresh, same = shared(letters, sizes, leader)
+                coded = own.code.pairs(letters, sizes)[fresh]
+                n = np.bincount(same, counted[w].repeat(sizes), len(fresh)).repeat(own.code.length[coded])
+                rows = own.looked_up(letters, sizes, leader, fresh, coded, left_out=True)
+                gate = rows.view(np.uint8).reshape(-1, 8)[:, 7] >> 1
+                order = np.argsort(gate, kind="stable")
+                rows, n, starts = rows.take(order).view(np.int8).reshape(-1, 8), n.take(order), np.r_[0, np.cumsum(np.bincount(gate, minlength=GATES))]
+                bit, x = rows[:, 7] & 1, rows.astype(np.float32)
+                x[:, 7] = SCALE
+                for g in np.flatnonzero(np.diff(starts)):
+                    at = slice(starts[g], starts[g + 1])
+                    p = 1 / (1 + np.exp(-np.clip(x[at] @ own.weights[g], -30, 30)))
+                    total[g, 0] += (n[at] * (bit[at] - p)).astype(np.float32) @ x[at]
+                    total[g, 1:] += x[at].T @ (x[at] * (n[at] * p * (1 - p)).astype(np.float32)[:, None])
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total.ravel()[at])], ["at", "x"])
+
+    sums = np.zeros(GATES * 72)
+    for at, x in counts.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x")).collect():
+        sums[at] = x
+    sums = sums.reshape(GATES, 9, 8)
+    return (model.weights + np.stack([np.linalg.solve(h + np.eye(8) * (SCALE / FIRST) ** 2, s) for s, h in zip(sums[:, 0], sums[:, 1:])])).astype(np.float32)
+
+
+def learned(texts: DataFrame, words: DataFrame) -> tuple[DataFrame, Model]:
+    """(word counts, the model learned) from all ``texts`` (``tokenised``) that aren't held out, whose ``words`` are ``listed``.
+
+    The leaders are their most frequent words.
     """
-    rest = F.crc32(F.col("doc_id").cast("string")) % 10
-    ids = docs.select("doc_id").where(rest == WEIGHT_REST).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(WEIGHT_DOCS)
-    sample = [r[0] for r in ids.collect()]
-    apart = F.coalesce(F.col("doc_id").isin(sample), F.lit(False)) if sample else F.lit(False)
-    chosen = materialise(docs.where(apart).dropDuplicates(["doc_id"]), "weights")
-    word = F.explode(F.filter(F.split(F.translate("text", UPPER, UPPER.lower()), f"[{SPACE}]+"), lambda w: w != "")).alias("word")
-    leaders = [r[0] for r in chosen.select(word).groupBy("word").count().orderBy(F.desc("count"), "word").limit(LEADERS).collect()]
-    counts = count_words(docs, apart, leaders)
+    tokens = words.where("first AND n > 0").select("token", "n")
+    leaders = [r[0] for r in tokens.where(F.col("token") != END).orderBy(F.desc("n"), "token").limit(LEADERS).collect()]
+    counts = count_words(texts, leaders)
     code, size = code_of(counts)
     power = max(FEWEST, min(MOST, (2 * size).bit_length()))
-    model = Model(code, *tables_of(counts, code, [min(power, 16 + 2 * k) if k else power for k, _ in CONTEXTS]), leaders)
-    if sample:
-        model.weights = learned_weights(chosen, model)
-    return materialise(counts.groupBy("token").agg(F.sum("n").alias("n")), "words"), model
+    whole, less = tables_of(counts, code, [min(power, 16 + 2 * k) if k else power for k, _ in CONTEXTS])
+    return tokens, Model(code, *whole, leaders, first_weights(counts, Model(code, *less, leaders)))
+
+
+def train(docs: DataFrame) -> tuple[DataFrame, Model]:
+    """(word counts of all ``docs`` (doc_id, text), the model learned from them)."""
+    texts = tokenised(docs.select("doc_id", "text", F.lit(False).alias("held_out")))
+    return learned(texts, listed(texts))
 
 
 def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) for every row of ``docs`` (doc_id, text, held_out).
 
-    Scores are log10. Tasks score texts and write them with the numbers of their words in their chunk's own list; only these
-    lists are joined with the counts of all training words, and come back to their chunk. A null text is an empty one; repeated
-    rows are scored each.
+    ``counts`` (token, n) and ``model`` are what ``train`` gives. Scores are log10. A null text is an empty one; repeated rows are
+    scored each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = "chunk long, doc_id long, held_out boolean, n_tokens long, n_bytes long, score double, ids array<int>, words array<string>"
-
-    fields = [c.split() for c in kinds.split(", ")]
+    texts = tokenised(docs)
+    return scored(texts, listed(texts).select("token", "chunk", "id").join(counts, "token", "left"), counts, model)
 
-    def rows_of(n: int, **columns: pa.Array) -> pa.RecordBatch:
-        types = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
-        return pa.record_batch([columns.get(name, pa.nulls(n, types[kind])) for name, kind in fields], [name for name, _ in fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, size, seen, listed = partition_id() << 32, 0, Seen(shared.value), {}
-        for batch in batches:
-            for part in slices(batch, "text", TEXT_BYTES):
-                words, numbers, ends = cut(part.column("text"), ordered=True)
-                under, leader, places = led(words, numbers, ends, shared.value.leaders)
-                own, words = seen.numbers(under.to_pylist(), leader), words.to_pylist()
-                found = shared.value.score(seen.rows, seen.first, seen.sizes, own[places], ends) / np.log(10)
-                tokens = np.diff(np.r_[0, ends])
-                number = np.fromiter((listed.setdefault(w, len(listed)) for w in words), np.int32, len(words))
-                ids = pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), pa.array(number[numbers]))
-                n_bytes = np.add.reduceat(spelled(words)[1][numbers], np.r_[0, ends[:-1]])
-                n = part.num_rows
-                yield rows_of(n, chunk=pa.array(np.full(n, chunk)), doc_id=part.column("doc_id"), held_out=part.column("held_out"), n_tokens=pa.array(tokens), n_bytes=pa.array(n_bytes), score=pa.array(found), ids=ids)
-                size += int(n_bytes.sum())
-                if size > CHUNK_BYTES:
-                    yield rows_of(1, chunk=pa.array([chunk]), words=pa.array([[*listed]]))
-                    chunk, size, seen, listed = chunk + 1, 0, Seen(shared.value), {}
-        if listed:
-            yield rows_of(1, chunk=pa.array([chunk]), words=pa.array([[*listed]]))
-
-    rows = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), column(docs, "text").cast("string").alias("text"), "held_out")
-    scored = materialise(rows.mapInArrow(run, kinds), "scored")
-    lists = scored.where("words IS NOT NULL").select(F.col("chunk").alias("of"), F.posexplode("words").alias("id", "token"))
-    known = lists.join(counts.select("token", "n"), "token", "left").select("of", "id", F.coalesce("n", F.lit(0)).alias("n"))
+def scored(texts: DataFrame, known: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """``score`` of ``texts`` (``tokenised``), with the count in training texts ``known`` (chunk, id, n) of each word of each chunk."""
+    shared_model = texts.sparkSession.sparkContext.broadcast(model)
     sums = counts.agg(F.sum("n"), F.count("*")).first()
     total, distinct = sums[0] or 0, sums[1]
-    texts = scored.where("words IS NULL").drop("words")
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
-    def base(texts: pa.Table, known: pa.Table) -> pa.Table:
-        n = np.zeros(known.num_rows, np.int64)
+    def run(chunk: pa.Table, known: pa.Table) -> pa.Table:
+        own, row = shared_model.value, chunk.to_pylist()[0]
+        words, numbers, ends = unpacked(row)
+        n = np.zeros(len(words), np.int64)
         n[known.column("id").to_numpy()] = known.column("n").to_numpy()
+        starts = np.r_[0, ends[:-1]]
         logs = np.log10((n + ADDED) / (total + ADDED * (distinct + 1)))
-        ids, row = pc.list_flatten(texts.column("ids")).to_numpy(), pc.list_parent_indices(texts.column("ids")).to_numpy()
-        cols = texts.select(["doc_id", "held_out", "n_tokens"]).columns
-        sums = [pa.array(np.bincount(row, w[ids], texts.num_rows)) for w in (n > 0, logs)]
-        return pa.table([*cols, sums[0].cast(pa.int64()), pa.array(np.full(texts.num_rows, total)), sums[1], texts.column("score"), texts.column("n_bytes")], [c.split()[0] for c in result.split(", ")])
+        of_word = [n > 0, logs, spelled(words.to_pylist())[1]]
+        n_known, base, n_bytes = (np.add.reduceat(x[numbers].astype(float if x is logs else np.int64), starts) for x in of_word)
+        order = pc.sort_indices(words).to_numpy()  # words with one beginning together, as their predictors' slots are
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        under, leader, places = led(words.take(pa.array(order)), place[numbers], ends, own.leaders)
+        rows, first, sizes = own.inputs(under.to_pylist(), leader)
+        cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(n_bytes + ROW_BYTES) // TEXT_BYTES)) + 1, len(ends)]
+        found = [own.score(rows, first, sizes, places[starts[x] : ends[y - 1]], ends[x:y] - starts[x]) for x, y in zip(cuts[:-1], cuts[1:]) if x < y]
+        columns = [row["doc_id"], row["held_out"], row["tokens"], n_known, np.full(len(ends), total), base, np.concatenate(found) / np.log(10), n_bytes]
+        kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+        names, types = zip(*(c.split() for c in result.split(", ")))
+        return pa.table([pa.array(x, kinds[t]) for x, t in zip(columns, types)], names)
 
-    return texts.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(base, result)
+    counted = known.select(F.col("chunk").alias("of"), "id", F.coalesce("n", F.lit(0)).alias("n"))
+    return texts.drop("counted").groupBy("chunk").cogroup(counted.groupBy("of")).applyInArrow(run, result)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -527,5 +628,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     rows = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), column(docs, "text").cast("string").alias("text")).withColumn("held_out", held)
-    counts, model = train(rows.where("NOT held_out").select("doc_id", "text"))
-    return score(rows, counts, model)
+    texts = tokenised(rows)
+    words = listed(texts)
+    counts, model = learned(texts, words)
+    return scored(texts, words, counts, model)

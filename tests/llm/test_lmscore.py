@@ -137,3 +137,60 @@ def test_code_is_a_prefix_code_and_leaders_follow_the_text():
     assert [(under[p].as_py(), int(leader[p])) for p in places] == [
         ("a", 0), ("the", 0), ("b", 1), ("la", 1), ("c", 1), ("la", 1), ("d", 2), (" ", 2), (" ", 0), ("la", 0), ("x", 2), (" ", 2),
     ]
+
+
+def bits_of(model, t, leader):
+    """(slots, depth in the byte, bit) of each bit of a word under a leader."""
+    word = b"\xff" if t == lmscore.END else t.encode() + b" "
+    whole, power = 0, 1
+    for j, byte in enumerate(word):
+        contexts = []
+        for k, (n, led) in enumerate(lmscore.CONTEXTS):
+            h = int.from_bytes(word[max(0, j - n) : j], "big") if n else whole
+            h = (h + k + 1 + ((leader + 1) * int(lmscore._M2) if led else 0)) * int(lmscore._M1) & M64
+            h = (h ^ h >> 29) * int(lmscore._M2) & M64
+            contexts.append(h >> 64 - (len(model.tables[k]).bit_length() - 1))
+        whole, power = whole + (byte + 1) * power & M64, power * lmscore._P & M64
+        pair = int(model.code.row[word[j - 1] if j else 0]) * 256 + byte
+        for depth in range(model.code.length[pair]):
+            yield [c ^ (int(model.code.node[pair, depth]) * 389 + 1 & 1023) for c in contexts], depth, int(model.code.bit[pair, depth])
+
+
+def test_leaders_and_first_weights_come_from_all_training_documents(spark):
+    """One Newton step over all occurrences, each with the counts of all others; no share of the documents is a sample for it."""
+    docs = [(i, ("alpha " if remainder(i) == 9 else "beta information ") * 3 + f"inform w{i}") for i in range(1, 61) if remainder(i) != 0]
+    assert any(remainder(i) == 9 for i, _ in docs)
+    model = lmscore.train(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))[1]
+    assert model.leaders[:2] == ["beta", "information"]
+    bits = []
+    for _, text in docs:
+        seen = Counter()
+        for t in tokens(text):
+            best = max(seen.values(), default=0)
+            bits += bits_of(model, t, next((k + 1 for k, w in enumerate(model.leaders) if best and seen[w] == best), 0))
+            seen[t] += t in model.leaders
+    counts = Counter((k, s, bit) for slots, _, bit in bits for k, s in enumerate(slots))
+    start = np.array([lmscore.FIRST / lmscore.SCALE] * 7 + [0])
+    slope, bend = np.zeros((lmscore.GATES, 8)), np.zeros((lmscore.GATES, 8, 8))
+    for slots, depth, bit in bits:
+        n = [[counts[k, s, b] - (b == bit) for b in (0, 1)] for k, s in enumerate(slots)]
+        x = np.array([np.rint(np.clip(lmscore.SCALE * math.log((one + 0.4) / (zero + 0.4)), -127, 127)) for zero, one in n] + [0] * (7 - len(n)) + [lmscore.SCALE])
+        level = sum(sum(n[lmscore.SURE]) >= v for v in lmscore.LEVELS)
+        gate = 3 * (level + 3 if level else np.count_nonzero(x[:3])) + min(depth, 2)
+        p = 1 / (1 + math.exp(-(x @ start)))
+        slope[gate] += (bit - p) * x
+        bend[gate] += p * (1 - p) * np.outer(x, x)
+    want = [start + np.linalg.solve(b + np.eye(8) * (lmscore.SCALE / lmscore.FIRST) ** 2, s) for s, b in zip(slope, bend)]
+    assert np.abs(np.array(want) - start).max() > 1e-3
+    np.testing.assert_allclose(model.weights, want, rtol=1e-3, atol=1e-6)
+
+
+def test_letters_shared_with_the_word_before_are_looked_up_once():
+    words = ["in", "inform", "information", "informed", "informed", "x" * 40, "x" * 40 + "y", lmscore.END]
+    letters, sizes = lmscore.spelled(words)
+    fresh, same = lmscore.shared(letters, sizes, np.array([0, 0, 0, 0, 1, 1, 1, 1]))
+    ends, kept = np.cumsum(sizes), {}
+    for w, (start, stop) in enumerate(zip(ends - sizes, ends)):
+        for j in range(start, stop):
+            assert letters[start : j + 1].tobytes() == kept.setdefault(int(same[j]), letters[start : j + 1].tobytes())
+    assert len(kept) == len(fresh) < len(letters) and sorted(kept) == list(range(len(fresh)))
