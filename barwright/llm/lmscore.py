@@ -124,10 +124,13 @@ def near(node: np.ndarray) -> np.ndarray:
     return (node * 389 + 1) & ((1 << NEAR) - 1)
 
 
-def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def spelled(words: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of words, each with the space after it, and how many each has; END is the end byte alone."""
-    raw = [bytes([END_BYTE]) if w == END else w.encode() + b" " for w in words]
-    return np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
+    words = pa.array(words, pa.large_string()).cast(pa.large_binary())
+    raw = pc.binary_join_element_wise(words, pa.scalar(b"", pa.large_binary()), pa.scalar(b" ", pa.large_binary()))
+    raw = pc.if_else(pc.equal(words, pa.scalar(END.encode(), pa.large_binary())), pa.scalar(bytes([END_BYTE]), pa.large_binary()), raw)
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+    return np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(raw) else np.zeros(0, np.uint8), np.diff(ends)
 
 
 def hashes(letters: np.ndarray, sizes: np.ndarray, leader: np.ndarray) -> Iterator[np.ndarray]:
@@ -220,7 +223,7 @@ class Model:
         rows[:, 7] = 2 * (3 * gate + np.minimum(depth, 2).astype(np.int8)) + bit
         return rows.view(np.uint64).ravel()
 
-    def inputs(self, words: list[str], leader: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def inputs(self, words: pa.Array, leader: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rows of inputs as ``looked_up`` gives them, first row of each word, rows of each word) of words under leaders.
 
         Letters that a word has in common with the one before it are looked up once; sorted words share the most.
@@ -331,9 +334,11 @@ def led(words: pa.Array, numbers: np.ndarray, ends: np.ndarray, leaders: list[st
     lead = np.r_[0, (seen[1:] - seen[before]).argmax(1) + 1]
     last = np.cumsum(np.r_[0, kind[numbers[:-1]] >= 0]) if len(numbers) else numbers
     own = (last > 0) & (np.r_[-1, text[at]][last] == text) if len(numbers) else np.zeros(0, bool)
-    pairs, found = np.unique(np.where(own, lead[last], 0) * len(words) + numbers, return_inverse=True)
-    leader, word = np.divmod(pairs, len(words))
-    return words.take(pa.array(word)), leader, found
+    key = np.where(own, lead[last], 0) * len(words) + numbers
+    met = np.zeros((len(leaders) + 1) * len(words), bool)
+    met[key] = True
+    leader, word = np.divmod(np.flatnonzero(met), len(words))
+    return words.take(pa.array(word)), leader, (np.cumsum(met) - 1)[key]
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
@@ -352,9 +357,9 @@ def tokenised(docs: DataFrame) -> DataFrame:
         rank[order] = np.arange(len(order), dtype=np.uint32)
         numbers = rank[numbers]
         counted = np.repeat(~rows.column("held_out").to_numpy(), tokens)
-        lists = [rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), tokens, words.take(pa.array(order)), np.bincount(numbers[counted], minlength=len(words))]
+        lists = [*[rows.column(c).chunk(0) for c in ("doc_id", "held_out")], pa.array(tokens, pa.int32()), words.take(pa.array(order)), pa.array(np.bincount(numbers[counted], minlength=len(words)))]
         planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # bytes of one weight together: most are small
-        arrays = [pa.array([number], pa.int64()), *[pa.array([x], t) for x, t in zip(lists, (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())))]]
+        arrays = [pa.array([number], pa.int64()), *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]]
         return pa.record_batch([*arrays, pa.array([pa.compress(planes, "zstd", asbytes=True)], pa.binary())], ["chunk", "doc_id", "held_out", "tokens", "words", "counted", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,11 +379,12 @@ def tokenised(docs: DataFrame) -> DataFrame:
     return materialise(rows.mapInArrow(run, kinds), "texts")
 
 
-def unpacked(chunk: dict) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """A row of ``tokenised`` as ``cut`` gives it."""
-    ends = np.cumsum(chunk["tokens"], dtype=np.int64)
-    planes = np.frombuffer(pa.decompress(chunk["ids"], 4 * int(ends[-1]), "zstd", asbytes=True), np.uint8)
-    return pa.array(chunk["words"], pa.string()), planes.reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64), ends
+def unpacked(chunk: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """A row of ``tokenised`` as ``cut`` gives it, and which texts are held out."""
+    tokens, words, held = (chunk.column(c)[0].values for c in ("tokens", "words", "held_out"))
+    ends = np.cumsum(tokens.to_numpy(), dtype=np.int64)
+    planes = np.frombuffer(pa.decompress(chunk.column("ids")[0].as_buffer(), 4 * int(ends[-1]), "zstd"), np.uint8)
+    return words, planes.reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64), ends, held.to_numpy(zero_copy_only=False)
 
 
 def listed(texts: DataFrame) -> DataFrame:
@@ -395,9 +401,8 @@ def count_words(texts: DataFrame, leaders: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                words, numbers, ends = unpacked(row)
-                own = np.repeat(~np.array(row["held_out"]), row["tokens"])
+                words, numbers, ends, held = unpacked(batch.slice(i, 1))
+                own = np.repeat(~held, np.diff(np.r_[0, ends]))
                 words, leader, numbers = led(words, numbers, ends, leaders)
                 n = np.bincount(numbers[own], minlength=len(words))
                 seen = np.flatnonzero(n)
@@ -408,7 +413,7 @@ def count_words(texts: DataFrame, leaders: list[str]) -> DataFrame:
     return materialise(counts.sortWithinPartitions("leader", "token"), "words")
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Rows of ``count_words`` as (words, leaders, counts), about PAIR_BYTES of words at a time."""
     held, size = [], 0
     for batch in batches:
@@ -422,9 +427,9 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.
         yield joined(held)
 
 
-def joined(held: list[pa.RecordBatch]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def joined(held: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     table = pa.Table.from_batches(held)
-    return table.column("token").to_pylist(), table.column("leader").to_numpy().astype(np.int64), table.column("counted").to_numpy()
+    return pa.concat_arrays(table.column("token").chunks), table.column("leader").to_numpy().astype(np.int64), table.column("counted").to_numpy()
 
 
 def code_of(counts: DataFrame) -> tuple[Code, int]:
@@ -433,7 +438,7 @@ def code_of(counts: DataFrame) -> tuple[Code, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, distinct = np.zeros(1 << 16, np.int64), 0
         for batch in batches:
-            letters, sizes = spelled(batch.column("token").to_pylist())
+            letters, sizes = spelled(batch.column("token"))
             before = np.r_[np.uint8(0), letters[:-1]].astype(np.int64)
             before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
             total += np.bincount(before << 8 | letters, np.repeat(batch.column("counted").to_numpy(), sizes), 1 << 16).astype(np.int64)
@@ -456,7 +461,7 @@ def tables_of(counts: DataFrame, code: Code, powers: list[int]) -> list[tuple[li
     their bits are counted.
     """
 
-    def packed(words: list[str], leader: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def packed(words: pa.Array, leader: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         letters, sizes = spelled(words)
         fresh, same = shared(letters, sizes, leader)
         n = np.bincount(same, n.repeat(sizes), len(fresh)).astype(np.int64)
@@ -597,25 +602,25 @@ def scored(texts: DataFrame, known: DataFrame, counts: DataFrame, model: Model)
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
     def run(chunk: pa.Table, known: pa.Table) -> pa.Table:
-        own, row = shared_model.value, chunk.to_pylist()[0]
-        words, numbers, ends = unpacked(row)
+        own, row = shared_model.value, chunk.combine_chunks().to_batches()[0]
+        words, numbers, ends, _ = unpacked(row)
         n = np.zeros(len(words), np.int64)
         n[known.column("id").to_numpy()] = known.column("n").to_numpy()
         starts = np.r_[0, ends[:-1]]
         logs = np.log10((n + ADDED) / (total + ADDED * (distinct + 1)))
-        of_word = [n > 0, logs, spelled(words.to_pylist())[1]]
+        of_word = [n > 0, logs, spelled(words)[1]]
         n_known, base, n_bytes = (np.add.reduceat(x[numbers].astype(float if x is logs else np.int64), starts) for x in of_word)
         order = pc.sort_indices(words).to_numpy()  # words with one beginning together, as their predictors' slots are
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         under, leader, places = led(words.take(pa.array(order)), place[numbers], ends, own.leaders)
-        rows, first, sizes = own.inputs(under.to_pylist(), leader)
+        rows, first, sizes = own.inputs(under, leader)
         cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(n_bytes + ROW_BYTES) // TEXT_BYTES)) + 1, len(ends)]
         found = [own.score(rows, first, sizes, places[starts[x] : ends[y - 1]], ends[x:y] - starts[x]) for x, y in zip(cuts[:-1], cuts[1:]) if x < y]
-        columns = [row["doc_id"], row["held_out"], row["tokens"], n_known, np.full(len(ends), total), base, np.concatenate(found) / np.log(10), n_bytes]
+        columns = [*[row.column(c)[0].values for c in ("doc_id", "held_out", "tokens")], n_known, np.full(len(ends), total), base, np.concatenate(found) / np.log(10), n_bytes]
         kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
         names, types = zip(*(c.split() for c in result.split(", ")))
-        return pa.table([pa.array(x, kinds[t]) for x, t in zip(columns, types)], names)
+        return pa.table([pa.array(x).cast(kinds[t]) for x, t in zip(columns, types)], names)
 
     counted = known.select(F.col("chunk").alias("of"), "id", F.coalesce("n", F.lit(0)).alias("n"))
     return texts.drop("counted").groupBy("chunk").cogroup(counted.groupBy("of")).applyInArrow(run, result)
