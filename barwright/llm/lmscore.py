@@ -48,7 +48,7 @@ FIRST, OWN_RATE, HALF = 0.25, 0.002, 100.0
 #: Bytes of text that a task scores at a time, about; a longer text is taken alone.
 TEXT_BYTES = 1 << 20
 #: Bytes of text whose words are listed together, and what a text counts beside its own.
-CHUNK_BYTES, ROW_BYTES = 7 << 20, 100
+CHUNK_BYTES, ROW_BYTES = 10 << 20, 100
 #: Letters looked up together, about, and those of a word that are compared with the word before.
 LOOKED_UP, WIDE = 1 << 16, 24
 #: Letters of words whose (slot, pair of bytes) counts a task adds up before it sends them on, and the bits of a pair's number.
@@ -260,7 +260,7 @@ class Model:
         x = rows.view(np.int8).reshape(-1, 8).astype(np.float32)
         x[:, 7] = SCALE
         sign = (tag & 1).astype(np.float32) * 2 - 1
-        odds = np.einsum("ij,ij->i", x, np.repeat(weights[sets], n, axis=0))
+        odds = (x * np.repeat(weights[sets], n, axis=0)) @ np.ones(8, np.float32)
         odds *= -sign
         np.exp(np.clip(odds, -15, 20, out=odds), out=odds)
         whole = 1 + odds
