@@ -163,7 +163,9 @@ def frame_outcomes(spark, sf_dir):
     m = touches(spark, sf_dir).where("b1 IS NOT NULL AND a1 IS NOT NULL").select("symbol", "book", "dn", ((F.col("b1") + F.col("a1")) / 2).alias("mid"))
     n = w.rowsBetween(1, 3)
     o = m.select("symbol", "book", "mid", F.lead("mid", 3).over(w).alias("ahead"), (F.lead("dn", 3).over(w) - F.col("dn")).alias("span"), F.max("mid").over(n).alias("hi"), F.min("mid").over(n).alias("lo"))
-    r = lambda c: near(F.col(c) / F.col("mid") - 1)
+    # Over a mid of 0, where sides below one price step meet, the return is infinite, or no number if both are 0.
+    over_zero = lambda c: F.when(F.col(c) == 0, float("nan")).when(F.col(c) > 0, float("inf")).when(F.col(c) < 0, float("-inf"))
+    r = lambda c: F.when(F.col("mid") != 0, near(F.try_divide(c, "mid") - 1)).otherwise(over_zero(c))
     return o.select("symbol", "book", F.when(F.col("span") <= 900, r("ahead")).alias("ret3"), r("hi").alias("best"), r("lo").alias("worst"))
 
 
