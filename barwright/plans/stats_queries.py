@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import by_symbol, near, near_sql, r6, sums_before
+from ..operators.quantiles import summed_up
+from ..operators.shared import stored
 from ..sources.tables import BARS, bars, table
 from .registry import query
 
@@ -22,9 +24,11 @@ def evaluated(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {SIG} SELECT sig, count(*) AS n, round(avg(hit::INT), 6) AS hit_rate, round(avg(out), 6) AS mean, round(quantile_cont(out, 0.5), 6) AS median, round(quantile_cont(out, 0.05), 6) AS p05, round(avg(out) / (stddev_samp(out) / sqrt(count(*))), 5) AS t FROM e GROUP BY sig")
 def signal_rows(spark, sf_dir):
-    e = evaluated(spark, sf_dir)
     t = F.avg("out") / (F.stddev_samp("out") / F.sqrt(F.count("*")))
-    return e.groupBy("sig").agg(F.count("*").alias("n"), r6(F.avg(F.col("hit").cast("int"))).alias("hit_rate"), r6(F.avg("out")).alias("mean"), r6(F.percentile("out", 0.5)).alias("median"), r6(F.percentile("out", 0.05)).alias("p05"), F.round(t, 5).alias("t"))
+    sums = F.count("*").alias("n"), r6(F.avg(F.col("hit").cast("int"))).alias("hit_rate"), r6(F.avg("out")).alias("mean"), F.round(t, 5).alias("t")
+    with stored(evaluated(spark, sf_dir).select("sig", "out", "hit")) as e:
+        g = summed_up(e, ["sig"], "out", {"median": 0.5, "p05": 0.05}, *sums)
+    return g.select("sig", "n", "hit_rate", "mean", r6("median").alias("median"), r6("p05").alias("p05"), "t")
 
 
 @query(f"WITH {SIG}, d AS (SELECT sig, ts, avg(out) AS m FROM e GROUP BY ALL) SELECT sig, count(*) AS days, round(avg(m), 6) AS mean, round(avg(m) / (stddev_samp(m) / sqrt(count(*))), 5) AS t FROM d GROUP BY sig")
