@@ -2,54 +2,112 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Time buckets are so many window widths long.
 BUCKET_WIDTHS = 2
-#: Sums of squares below this share of their terms are nothing.
-NOTHING = 1e-9
+#: Points of windows that are laid out at a time.
+PAIRS = 1 << 18
 #: A parabola needs times that spread over this share of the width (as a standard deviation), and a determinant above this share of
 #: its largest term: times that are nearly one or two points have none.
 SPREAD, SINGULAR = 0.05, 1e-3
 
 
-def window_fits(df: DataFrame, keys: list[str], time: str, value: str, width: float) -> DataFrame:
+def window_fits(df: DataFrame, keys: list[str], time: str, value: str, width: float, unit: float = 1) -> DataFrame:
     """Adds ``n``, ``slope``, ``curvature`` and ``r2`` of ``value`` over ``time`` (a number) from the rows with a time in [t - width, t].
 
     ``slope`` and ``r2`` are those of the line, ``curvature`` is twice the quadratic coefficient of the parabola (the closed
-    solution of its normal equations about the mean time). They are null with less than two, for the curvature three, different
-    times (which also have to spread, see SPREAD); ``r2`` is null for a constant value. Rows without a time or a value have no fit and are in none.
+    solution of its normal equations about the mean time), both by ``unit`` of time. They are null with less than two, for the curvature
+    three, different times (which also have to spread, see SPREAD); ``r2`` is null for a constant value. Rows without a time or a
+    value have no fit and are in none.
 
-    All follow from sums of powers over one RANGE frame. Rows are dealt out by key and time bucket, each bucket with a copy of
-    the ``width`` before it: a key with very many rows is no single task, and powers are taken of times within a bucket, so sums
-    keep their digits however late the times are.
+    Whether a row is in a window is decided on times as they are (whole numbers stay whole), and sums are taken of differences
+    from the window's means, so that times seconds apart keep their digits. Rows are dealt out by key and time bucket, each bucket with a
+    copy of the ``width`` before it: a key with very many rows is no single task. A task goes through its rows in order and
+    holds those of one width and a batch.
     """
     span = BUCKET_WIDTHS * width
-    t, bucket, x = F.col(time).cast("double"), "_bucket", F.col("_x")
+    t, bucket = F.col(time).cast("double"), "_bucket"
     fine = df.withColumn("_y", F.when(t.isNotNull() & ~F.isnan(t), F.nanvl(F.col(value).cast("double"), F.lit(None))))
     own = F.coalesce(F.floor(t / span), F.lit(0))
     until = F.when((F.col("_y").isNotNull()) & (t >= (own + 1) * span - width), own + 1).otherwise(own)
-    dealt = fine.withColumn("_own", own).withColumn(bucket, F.explode(F.sequence("_own", until))).withColumn("_x", (t - F.col(bucket) * span) / width)
-    w = Window.partitionBy(*keys, bucket).orderBy("_x").rangeBetween(-1, 0)
-    some, y = F.col("_y").isNotNull(), F.col("_y")
-    terms = {"n": F.lit(1.0), "x1": x, "x2": x * x, "x3": x * x * x, "x4": x * x * x * x, "y1": y, "y2": y * y, "xy": x * y, "xxy": x * x * y}
-    sums = dealt.withColumns({f"_{k}": F.coalesce(F.sum(F.when(some, v)).over(w), F.lit(0.0)) for k, v in terms.items()}).where(f"_own = {bucket}")
-    s = {k: F.col(f"_{k}") for k in terms}
-    mx, my = F.try_divide(s["x1"], s["n"]), F.try_divide(s["y1"], s["n"])
-    # Sums about the mean time and value.
-    m2 = s["x2"] - s["n"] * mx * mx
-    m3 = s["x3"] - 3 * mx * s["x2"] + 2 * s["n"] * mx * mx * mx
-    m4 = s["x4"] - 4 * mx * s["x3"] + 6 * mx * mx * s["x2"] - 3 * s["n"] * mx * mx * mx * mx
-    uy, yy = s["xy"] - s["n"] * mx * my, s["y2"] - s["n"] * my * my
-    uuy = s["xxy"] - 2 * mx * s["xy"] + mx * mx * s["y1"] - my * m2
-    det = m2 * (m4 - F.try_divide(m2 * m2, s["n"])) - m3 * m3
-    line = (s["n"] >= 2) & (m2 > NOTHING * s["x2"])
-    slope = F.when(some & line, F.try_divide(uy, m2))
-    curved = F.when(some & line & (s["n"] >= 3) & (m2 >= SPREAD * SPREAD * s["n"]) & (det > SINGULAR * m2 * m4), F.try_divide(m2 * uuy - m3 * uy, det))
-    r2 = F.when(some & line & (yy > NOTHING * s["y2"]), F.try_divide(uy * uy, m2 * yy))
-    found = sums.withColumns({"_slope": slope / width, "_curved": 2 * curved / (width * width), "_r2": r2})
-    return found.select(*df.columns, F.when(some, s["n"]).otherwise(0.0).cast("long").alias("n"), F.col("_slope").alias("slope"), F.col("_curved").alias("curvature"), F.col("_r2").alias("r2"))
+    some = fine.where("_y IS NOT NULL").withColumn("_own", own).withColumn(bucket, F.explode(F.sequence("_own", until)))
+    found = T.StructType([*df.schema.fields, *[T.StructField(n, T.LongType() if n == "n" else T.DoubleType()) for n in ("n", "slope", "curvature", "r2")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            # Rows of the last time may have equals in the next batch.
+            table, held = _fitted(rows, keys, time, width, unit, False)
+            yield from table.select(found.names).to_batches()
+        if held is not None:
+            yield from _fitted(held, keys, time, width, unit, True)[0].select(found.names).to_batches()
+
+    ordered = some.withColumn("_done", F.lit(False)).repartition(*keys, bucket).sortWithinPartitions(*keys, bucket, time)
+    fits = ordered.mapInArrow(run, found)
+    none = fine.where("_y IS NULL").select(*df.columns, F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("double").alias(c) for c in ("slope", "curvature", "r2")])
+    return fits.unionByName(none)
+
+
+def _fitted(rows: pa.Table, keys: list[str], time: str, width: float, unit: float, last: bool) -> tuple[pa.Table, pa.Table]:
+    """Fits of the rows that are not done yet, up to the last time (``last``: of that, too), and the rows that later ones need."""
+    n = rows.num_rows
+    stamp = rows.column(time)
+    t = stamp.to_numpy() if pa.types.is_integer(stamp.type) else stamp.cast("float64").to_numpy()
+    fresh = np.zeros(n, bool)
+    fresh[:1] = True
+    for k in (*keys, "_bucket"):
+        code = rows.column(k).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        fresh[1:] |= code[1:] != code[:-1]
+    group = np.cumsum(fresh)
+    # Within a group times ascend: first and last row of each window by bisection over all groups at once.
+    starts = np.flatnonzero(fresh)
+    upto = np.flatnonzero(np.r_[fresh[1:] | (t[1:] != t[:-1]), True]) + 1
+    hi = upto[np.searchsorted(upto, np.arange(n), side="right")]
+    lo = np.empty(n, np.int64)
+    for a, b in zip(starts, np.r_[starts[1:], n]):
+        lo[a:b] = a + np.searchsorted(t[a:b], t[a:b] - width, side="left")
+    ready = np.ones(n, bool) if last else (group < group[-1]) | (t < t[-1])
+    mine = np.flatnonzero(ready & ~rows.column("_done").to_numpy() & (rows.column("_own").to_numpy() == rows.column("_bucket").to_numpy()))
+    y, out = rows.column("_y").to_numpy(), np.full((3, len(mine)), np.nan)
+    size = (hi - lo)[mine]
+    # Windows of so many rows at a time, or a single larger one.
+    edges = np.searchsorted(np.cumsum(size), np.arange(PAIRS, size.sum() + PAIRS, PAIRS), side="left") + 1 if len(mine) else []
+    a = 0
+    for b in np.unique(np.minimum(edges, len(mine))) if len(mine) else []:
+        at, count = mine[a:b], size[a:b]
+        first = np.cumsum(count) - count
+        which = np.repeat(np.arange(b - a), count)
+        row = np.arange(len(which)) - first[which] + lo[at][which]
+        out[:, a:b] = _solved((t[row] - t[at][which]) / unit, y[row], which, first, count, width / unit)
+        a = b
+    fits = rows.take(mine)
+    for name, v in (("n", pa.array(size)), *zip(("slope", "curvature", "r2"), (pa.array(v, mask=np.isnan(v)) for v in out))):
+        fits = fits.append_column(name, v)
+    # Later rows are of the last group, no earlier than its last time.
+    keep = ~ready | ((group == group[-1]) & (t >= t[-1] - width))
+    done = rows.set_column(rows.schema.get_field_index("_done"), rows.schema.field("_done"), pa.array(ready))
+    return fits, done.filter(pa.array(keep))
+
+
+def _solved(x: np.ndarray, y: np.ndarray, which: np.ndarray, first: np.ndarray, count: np.ndarray, width: float) -> tuple:
+    """Slope, curvature and r2 (NaN: none) of windows whose points follow one another."""
+    total = lambda v: np.add.reduceat(v, first)
+    differ = lambda v: np.maximum.reduceat(v, first) > np.minimum.reduceat(v, first)
+    u, v = x - (total(x) / count)[which], y - (total(y) / count)[which]
+    m2, m3, m4, uv, uuv, vv = (total(s) for s in (u * u, u * u * u, u * u * u * u, u * v, u * u * v, v * v))
+    det = m2 * (m4 - m2 * m2 / count) - m3 * m3
+    line = differ(x)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        curved = line & (count >= 3) & (m2 >= (SPREAD * width) ** 2 * count) & (det > SINGULAR * m2 * m4)
+        return np.where(line, uv / m2, np.nan), np.where(curved, 2 * (m2 * uuv - m3 * uv) / det, np.nan), np.where(line & differ(y), uv * uv / (m2 * vv), np.nan)
 
 
 def path_fits(points: Column) -> Column:

@@ -30,8 +30,7 @@ c AS (SELECT *, {CENTRED} FROM j), s AS (SELECT symbol, event_id, {SUMS}, count(
 SELECT symbol, event_id, n, CASE WHEN times >= 2 THEN floor(slope * 1e2 + 0.5) / 1e2 END AS slope, CASE WHEN m2 >= {(SPREAD * DAYS) ** 2} * n THEN floor(2 * ({LEAD}) * 1e3 + 0.5) / 1e3 END AS curvature, CASE WHEN times >= 2 AND kinds >= 2 THEN {near_sql('r2')} END AS r2 FROM s""")
 def irregular_fits(spark, sf_dir):
     """Slope, curvature and fit of the value over the ten days behind each print, in days."""
-    p = prints(spark, sf_dir).select("symbol", "event_id", "value", (F.col("sec") / 86400.0).alias("day"))
-    f = window_fits(p, ["symbol"], "day", "value", DAYS)
+    f = window_fits(prints(spark, sf_dir).select("symbol", "event_id", "value", "sec"), ["symbol"], "sec", "value", DAYS * 86400, unit=86400)
     rounded = lambda c, unit: (F.floor(F.col(c) * unit + 0.5) / unit).alias(c)  # noqa: E731  fewer digits, as prints seconds apart make steep slopes
     return f.select("symbol", "event_id", "n", rounded("slope", 1e2), rounded("curvature", 1e3), near("r2").alias("r2"))
 

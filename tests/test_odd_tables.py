@@ -53,3 +53,18 @@ def test_returns_over_a_mid_of_zero(spark, tmp_path):
     got = against_sql(spark, tmp_path, "frame_outcomes", lineitem=[line(b, n, p, flag) for b, _, p in books for n, flag in ((1, "N"), (2, "R"))], orders=[order(b, c, b) for b, c, _ in books])
     returns = {r[1]: r[2:] for r in got}
     assert returns[0] == ("nan", math.inf, "nan") and returns[11] == (math.inf, math.inf, "nan") and returns[20] == (3.0, 3.0, 1.0) and returns[14] == (None, None, None)
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_fits_over_windows_that_end_at_a_row_and_times_seconds_apart(spark, tmp_path, batch):
+    ten = 10 * 86400
+    # Ten days and one of these numbers of seconds apart are more than ten days in fractions of a day; others come close together or at once.
+    times = {1: [77, 77 + 8193, 100_000, 77 + ten, 8270 + ten, 100_000 + ten, 100_001 + ten], 2: [0, 1, 2, 4, 11, 12, 12, 12, 13], 3: [ten * k + 7 for k in range(8)], 4: [5], 5: [3, 3, 3], 6: [1000, 1000 + ten, 1001 + ten, 2 * ten + 1001]}
+    times[7] = [37_003 * k for k in range(60)] + [ten + 37_003 * k for k in range(30)]
+    events = [event(100 * u + i, u, s, round(10 + 3.7 * ((i * 7919) % 13) + 0.01 * u, 2)) for u, at in times.items() for i, s in enumerate(sorted(at))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r[1]: r for r in against_sql(spark, tmp_path, "irregular_fits", events=events)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[307][2] == 2 and got[103][2] == 4 and got[202][3] is not None and got[502][2:] == (3, None, None, None)
