@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import by_symbol, near, near_sql
 from ..operators.mechanisms import div, ramp
+from ..operators.quantiles import interpolated
 from ..sources.tables import BARS, TAPE, bars, table, tape
 from .registry import query
 from .scalar_queries import LADDER
@@ -168,5 +169,8 @@ def velocity_decile(spark, sf_dir):
     x = tape(spark, sf_dir).select("symbol", "event_id", F.unix_seconds(F.col("t").cast("timestamp")).alias("sec"), "value")
     v = x.withColumn("moved", F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("symbol").orderBy("sec", "event_id"))))
     past = w.rangeBetween(-864000, -1)
-    q = v.select("symbol", "event_id", "moved", F.percentile("moved", 0.9).over(past).alias("p90"), F.count("moved").over(past).alias("n"))
+    # The two moves around the percentile, as some moves are equal to it and the last digit decides.
+    a = v.select("symbol", "event_id", "moved", F.sort_array(F.collect_list("moved").over(past)).alias("a")).withColumns({"n": F.size("a").cast("long"), "at": (F.size("a") - 1) * F.lit(0.9)})
+    beside = a.withColumns({"lower": F.get("a", F.floor("at").cast("int")), "upper": F.get("a", F.ceil("at").cast("int")), "part": F.col("at") - F.floor("at")})
+    q = beside.withColumn("p90", interpolated(F.col("lower"), F.col("upper"), F.col("part")))
     return q.select("symbol", "event_id", "n", F.coalesce((F.col("n") >= 4) & (F.col("moved") >= F.col("p90")), F.lit(False)).alias("fast"))
