@@ -50,22 +50,26 @@ def row_text(df: DataFrame, columns: list[str]) -> Column:
     return canonical(F.struct(*columns), df.select(F.struct(*columns).alias("r")).schema["r"].dataType)
 
 
-def ordered_digest(df: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
+def ordered_digest(df: DataFrame, by: list[str], order: str, columns: list[str], levels: int | None = None) -> DataFrame:
     """(by, n, digest): the SHA-256 of each group's rows in ``order`` (a number, unique within the group).
 
     A Merkle list: rows are numbered in ranges, every FAN digests in order make one of the next level, until one is left. No
     task holds more than FAN digests of a group at a time, and a group's digest has as many levels as its own size needs.
+    With ``levels`` there are at most so many, and the last makes one digest of all that are left: of a group of n rows, a
+    task then holds n / FAN ** (levels - 1) digests.
     """
     rows = df.select(*by, F.col(order).alias("at"), F.sha2(row_text(df, columns), 256).alias("digest"), F.lit(1).alias("one"))
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    most, done = sizes.agg(F.max("n")).first()[0] or 0, 1
+    most, done, depth = sizes.agg(F.max("n")).first()[0] or 0, 1, 0
     level = sums_before(rows, "at", {"number": "one"}, by).select(*by, F.col("number").cast("long").alias("number"), "digest").join(sizes, by)
     while done == 1 or done < most:
-        parts = level.withColumn("of", F.floor(F.col("number") / FAN)).groupBy(*by, "n", "of").agg(F.sort_array(F.collect_list(F.struct("number", "digest"))).alias("d"))
+        depth += 1
+        fan = most if depth == levels else FAN
+        parts = level.withColumn("of", F.floor(F.col("number") / fan)).groupBy(*by, "n", "of").agg(F.sort_array(F.collect_list(F.struct("number", "digest"))).alias("d"))
         joined = F.sha2(F.array_join(F.transform("d", lambda x: x["digest"]), ""), 256)
         # One digest that is all of its group already stays as it is.
         digest = joined if done == 1 else F.when(F.col("n") <= done, F.col("d")[0]["digest"]).otherwise(joined)
-        level, done = parts.select(*by, "n", F.col("of").alias("number"), digest.alias("digest")), done * FAN
+        level, done = parts.select(*by, "n", F.col("of").alias("number"), digest.alias("digest")), done * fan
     return level.select(*by, "n", "digest")
 
 

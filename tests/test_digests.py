@@ -48,3 +48,15 @@ def test_repeated_and_begun_files_are_found(spark):
     got = {r.file: (r.n, r.same_as, r.prefix_of) for r in digests.prefix_duplicates(lines, "file", "at", ["line"]).collect()}
     assert got == {1: (4, None, 5), 2: (4, 1, 5), 10: (4, 1, 5), 3: (2, None, 1), 6: (2, None, 7)}
     assert digests.prefix_duplicates(lines.limit(0), "file", "at", ["line"]).collect() == []
+
+
+def test_levels_end_where_they_are_told_to(spark, monkeypatch):
+    monkeypatch.setattr(digests, "FAN", 2)
+    df = spark.createDataFrame([("long", i) for i in range(9)] + [("short", 0), ("short", 1), ("one", 5)], "k string, i int")
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    rows = [sha(f'{{"i":{i}}}') for i in range(9)]
+    pairs = [sha("".join(rows[i : i + 2])) for i in range(0, 9, 2)]
+    fours = [sha("".join(pairs[i : i + 2])) for i in range(0, 5, 2)]
+    found = lambda levels: {r.k: (r.n, r.digest) for r in digests.ordered_digest(df, ["k"], "i", ["i"], levels).collect()}
+    assert found(2) == {"long": (9, sha("".join(pairs))), "short": (2, pairs[0]), "one": (1, sha(rows[5]))}
+    assert found(3)["long"] == (9, sha("".join(fours))) and found(1)["long"] == (9, sha("".join(rows)))
