@@ -76,7 +76,9 @@ def queue_pull_stack(spark, sf_dir):
     steps = {"up": f"CASE WHEN NOT fresh AND bq > lag(bq) {W} THEN 1 ELSE 0 END", "down": f"CASE WHEN NOT fresh AND bq < lag(bq) {W} THEN 1 ELSE 0 END", "own": "CASE WHEN fresh THEN 0.0 ELSE vol END"}
     s = l.selectExpr("*", *[f"{e} AS {n}" for n, e in steps.items()])
     run = Window.partitionBy("symbol", "island").orderBy("dn").rangeBetween(-LAG, 0)
-    r = s.select("symbol", "dn", "book", "bq", F.first("bq").over(run).alias("q0"), F.sum("up").over(run).alias("ups"), F.sum("down").over(run).alias("downs"), F.sum("own").over(run).alias("volume"))
+    # The first of the frame's first day by book, as rows of one day come in any order.
+    q0 = F.min(F.struct("dn", "book", "bq")).over(run)["bq"]
+    r = s.select("symbol", "dn", "book", "bq", q0.alias("q0"), F.sum("up").over(run).alias("ups"), F.sum("down").over(run).alias("downs"), F.sum("own").over(run).alias("volume"))
     # Pulls of the last LAG days at each snapshot: both in one frame by time.
     both = r.unionByName(entries.select("symbol", F.col("at").cast("int").alias("dn"), F.col("quantity").alias("pull")), allowMissingColumns=True)
     recent = Window.partitionBy("symbol").orderBy("dn").rangeBetween(-LAG, 0)
