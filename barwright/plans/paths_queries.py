@@ -54,9 +54,9 @@ c AS (SELECT p.leader, p.follower, l.lag, count(*) AS n, corr(x.r, y.r) AS rho F
 @query(f"WITH {PAIRS}, b AS (SELECT *, row_number() OVER (PARTITION BY leader, follower ORDER BY round(rho, 6) DESC, lag) AS place FROM c WHERE n >= {OVERLAP} AND rho IS NOT NULL AND NOT isnan(rho)) SELECT leader, follower, lag::INT AS lag, n, {near_sql('rho')} AS rho FROM b WHERE place = 1")
 def pair_lags(spark, sf_dir):
     """The lag at which each symbol follows the most traded ones of its sector most closely, on a daily grid with unfilled days masked."""
-    b = bars(spark, sf_dir)
+    b = bars(spark, sf_dir, together=True)
     sector = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol"), F.col("s_nationkey").alias("sector"))
-    total = b.groupBy("symbol").agg(F.sum("trades").alias("trades")).join(sector, "symbol")
+    total = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("symbol")).agg(F.count("*").alias("trades")).join(sector, "symbol")
     w = Window.partitionBy("sector").orderBy(F.desc("trades"), "symbol")  # a row for each symbol
     top = total.withColumn("place", F.row_number().over(w)).where(F.col("place") <= LEADERS).select(F.col("symbol").alias("leader"), "sector")
     pairs = total.select(F.col("symbol").alias("follower"), "sector").join(top, "sector").where("follower <> leader").select("leader", "follower")
