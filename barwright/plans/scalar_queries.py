@@ -75,8 +75,8 @@ def volume_bins(spark, sf_dir):
 
 @query(f"WITH {BARS}, x AS (SELECT symbol, ts, close, list(close) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM bars) SELECT symbol, ts, CASE WHEN len(past) >= 20 THEN {near_sql('len(list_filter(past, lambda y: y < close)) / len(past)::DOUBLE')} END AS own_rank FROM x")
 def causal_rank(spark, sf_dir):
-    """Share of a symbol's own earlier closes below the current one, counted in ranges of time and of closes."""
-    counts = earlier_below(bars(spark, sf_dir).select("symbol", "ts", F.unix_date("ts").alias("day"), "close"), "symbol", "day", "close")
+    """Share of a symbol's own earlier closes below the current one."""
+    counts = earlier_below(bars(spark, sf_dir, together=True).select("symbol", "ts", F.unix_date("ts").alias("day"), "close"), "symbol", "day", "close")
     return counts.select("symbol", "ts", F.when(F.col("earlier") >= 20, near(F.col("below") / F.col("earlier"))).alias("own_rank"))
 
 

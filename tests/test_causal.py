@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from barwright.operators import causal
 from barwright.operators.causal import earlier_below, smaller_before
 
 
@@ -26,3 +27,16 @@ def test_counts_equal_brute_force(spark):
         past = [x for a, u, x in fine if a == k and u < t]
         assert got[k, t] == (len(past), sum(x < v for x in past))
     assert earlier_below(df.limit(0), "k", "t", "v").collect() == []
+
+
+@pytest.mark.parametrize("whole, batch", [(1_000_000, 7), (30, 7), (30, 10_000)])
+def test_keys_counted_whole_and_in_ranges_give_the_same(spark, monkeypatch, whole, batch):
+    monkeypatch.setattr(causal, "WHOLE", whole)
+    rng = random.Random(8)
+    rows = [(k, t, float(rng.randrange(9))) for k, n in (("a", 90), ("b", 5), ("c", 31), (None, 40), ("d", 1), ("e", 30)) for t in rng.sample(range(500), n)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {(r.k, r.t): (r.earlier, r.below) for r in earlier_below(spark.createDataFrame(rows, "k string, t long, v double"), "k", "t", "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(k, t): (len(p := [x for a, u, x in rows if a == k and u < t]), sum(x < v for x in p)) for k, t, v in rows}
