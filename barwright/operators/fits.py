@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,3 +141,67 @@ def path_fits(points: Column) -> Column:
     return F.struct(
         F.size(points).cast("long").alias("points"), a["slope"].alias("slope"), concavity.alias("concavity"), F.when(enough, b["slope"]).alias("exponent"), F.when(enough, b["r2"]).alias("r2")
     )
+
+
+def trailing_path_fits(df: DataFrame, key: str, order: list[str], step: str, size: str, value: str, rows: int) -> DataFrame:
+    """(df, flow, total, last_y, points, slope, concavity, exponent, r2): ``path_fits`` of the last ``rows`` rows of the key up to each one.
+
+    A path begins at its first row; x is the running sum of ``step`` (a whole number) after it, y the value less the first one,
+    both times the sign of the last sum, ``flow``. ``total`` is the sum of ``size``. Rows without a flow are left out. Nulls in ``step`` and ``size`` count
+    as 0; a path with a null value has no fit. A task goes through its rows in order, many at a time, and keeps the last ones.
+    """
+    number = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    doubles = {f"_{c}": F.col(c).cast("double") for c in (step, size, value)}
+    ordered = df.withColumn("_number", F.least(number, F.lit(rows))).withColumns(doubles)
+    kinds = {"flow": T.LongType(), "total": T.LongType(), "last_y": T.DoubleType(), "points": T.LongType(), "slope": T.DoubleType(), "concavity": T.DoubleType(), "exponent": T.DoubleType(), "r2": T.DoubleType()}
+    schema, given = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in kinds.items()]]), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        past = np.zeros((3, rows - 1))
+        for batch in batches:
+            own = np.stack([pc.fill_null(batch.column(f"_{c}"), gap).to_numpy() for c, gap in ((step, 0.0), (size, 0.0), (value, np.nan))])
+            seen = np.concatenate([past, own], axis=1)
+            past = seen[:, seen.shape[1] - rows + 1 :]
+            count = batch.column("_number").to_numpy()
+            found = _paths(*np.lib.stride_tricks.sliding_window_view(seen, rows, axis=1), count)
+            some = np.flatnonzero(found["flow"] != 0)
+            fits = pa.Table.from_batches([batch]).take(some).select(given)
+            for name, kind in kinds.items():
+                v = found[name][some]
+                fits = fits.append_column(name, pa.array(v.astype(np.int64)) if kind == T.LongType() else pa.array(v, mask=np.isnan(v)))
+            yield from fits.to_batches()
+
+    return ordered.mapInArrow(run, schema)  # as the window leaves them: all rows of a key in one task, in order
+
+
+def _paths(step: np.ndarray, size: np.ndarray, value: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
+    """Fits of paths that are the last ``count`` of each row's columns."""
+    width = step.shape[1]
+    at = np.arange(width)
+    here, later = at >= width - count[:, None], at > width - count[:, None]
+    x = np.cumsum(np.where(later, step, 0.0), axis=1)
+    flow = x[:, -1]
+    x = np.sign(flow)[:, None] * x
+    y = np.sign(flow)[:, None] * (value - np.take_along_axis(value, (width - count)[:, None].astype(np.int64), axis=1))
+
+    def line(x, y, on):
+        n = on.sum(axis=1)
+        total = lambda v: np.where(on, v, 0.0).sum(axis=1)
+        u, v = x - (total(x) / n)[:, None], y - (total(y) / n)[:, None]
+        xx, xy, yy = total(u * u), total(u * v), total(v * v)
+        return total, u, v, n, xx, xy, np.where(xx > 1e-18, xy / xx, np.nan), np.where((xx > 1e-18) & (yy > 1e-12), xy * xy / (xx * yy), np.nan)
+
+    with np.errstate(all="ignore"):
+        total, u, v, n, xx, xy, slope, _ = line(x, y, here)
+        m3, m4, uuy = total(u * u * u), total(u * u * u * u), total(u * u * v)
+        det = xx * (m4 - xx * xx / n) - m3 * m3
+        curvature = np.where((n >= 3) & (det > SINGULAR * xx * m4), 2 * (xx * uuy - m3 * xy) / det, np.nan)
+        last_x, last_y = x[:, -1], y[:, -1]
+        concavity = np.where((last_x > 0) & (last_y > 0), -curvature * last_x * last_x / last_y, np.nan)
+        logs = here & (x > 0) & (y > 0)
+        *_, exponent, r2 = line(np.log(np.where(logs, x, 1.0)), np.log(np.where(logs, y, 1.0)), logs)
+        enough = logs.sum(axis=1) >= 4
+    return {
+        "flow": flow, "total": np.where(later, size, 0.0).sum(axis=1), "last_y": last_y, "points": n, "slope": slope, "concavity": concavity,
+        "exponent": np.where(enough, exponent, np.nan), "r2": np.where(enough, r2, np.nan),
+    }

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import near, near_sql
-from ..operators.fits import SINGULAR, SPREAD, path_fits, window_fits
+from ..operators.fits import SINGULAR, SPREAD, trailing_path_fits, window_fits
 from ..operators.mechanisms import ramp
 from ..operators.shocks import Rules, curves, shocks, tracked
 from ..sources.tables import TAPE, TOUCHES, tape, touches
@@ -55,15 +54,8 @@ c AS (SELECT symbol, event_id, n AS points, flow, total, last_y, CASE WHEN place
 SELECT symbol, event_id, points, {near_sql('exponent')} AS exponent, {near_sql('r2')} AS r2, {near_sql(IMPACT)} AS score, CASE WHEN {near_sql(IMPACT)} > 0 THEN sign(flow)::INT ELSE 0 END AS direction FROM c""")
 def metaorder_impact(spark, sf_dir):
     """How much the value's path along the signed flow of the last twelve prints is a square root: exponent, fit and score."""
-    w = Window.partitionBy("symbol").orderBy("sec", "event_id").rowsBetween(-(LAST - 1), 0)
-    flow = (F.col("side") * F.col("k")).alias("f")
-    p = prints(spark, sf_dir).select("symbol", "event_id", F.collect_list(F.struct(flow, "k", "value")).over(w).alias("a"))
-    sum_ = lambda a, c: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v[c])
-    later = F.slice("a", 2, LAST)
-    d = p.select("symbol", "event_id", "a", sum_(later, "f").alias("flow"), sum_(later, "k").alias("total")).where("flow <> 0").withColumn("dir", F.signum("flow"))
-    point = lambda v, i: F.struct((F.col("dir") * sum_(F.slice("a", 2, i), "f")).cast("double").alias("x"), (F.col("dir") * (v["value"] - F.col("a")[0]["value"])).alias("y"))
-    fit = d.withColumn("path", F.transform("a", point)).withColumn("fit", path_fits(F.col("path")))
-    c = fit.select("symbol", "event_id", "flow", "total", "dir", "fit.*", F.element_at("path", -1)["y"].alias("last_y"))
+    p = prints(spark, sf_dir).select("symbol", "sec", "event_id", (F.col("side") * F.col("k")).alias("f"), "k", "value")
+    c = trailing_path_fits(p, "symbol", ["sec", "event_id"], "f", "k", "value", LAST).withColumn("dir", F.signum("flow"))
     score = near(F.expr(IMPACT))
     return c.select("symbol", "event_id", "points", near("exponent").alias("exponent"), near("r2").alias("r2"), score.alias("score"), F.when(score > 0, F.col("dir").cast("int")).otherwise(0).alias("direction"))
 
